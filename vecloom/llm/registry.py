@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from vecloom.llm import exact_dedup
+from vecloom.llm import exact_dedup, language_id, quality
 
-QUERIES = {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
+}
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE}
