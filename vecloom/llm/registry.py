@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vecloom.llm import exact_dedup, language_id, quality
+from vecloom.llm import bpe_automaton, embedding_dedup, exact_dedup, language_id, packing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
+    "op8_bpe": bpe_automaton.op8_bpe,
+    "op9_packing": packing.op9_packing,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE}
