@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vecloom.llm import bpe_automaton, embedding_dedup, exact_dedup, language_id, packing, quality, suffix_dedup
+from vecloom.llm import bpe_automaton, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op8_bpe": bpe_automaton.op8_bpe,
     "op9_packing": packing.op9_packing,
