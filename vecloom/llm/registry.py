@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vecloom.llm import bpe_automaton, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, suffix_dedup
+from vecloom.llm import bpe_automaton, embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
