@@ -1,13 +1,56 @@
-"""Corpus pipeline: language ID, exact dedup, near-dedup, repeated passages, packing."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, removal of repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
+return the columns of ``documents``. Texts that lose a passage stay, with ``n_chars`` set anew.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from vecloom.llm import exact_dedup, language_id, minhash_dedup, packing, suffix_dedup
+from vecloom.runtime import Scratch
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; profiles are learned from the rows that state one."""
+    return language_id.drop_unidentified(docs, language_id.fit(docs.select("doc_id", "text", "lang")))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates_exact(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs, size_col="n_chars")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact),
+    ("minhash_dedup", drop_near),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
+
+#: Signatures, suffixes and merges are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs

@@ -154,6 +154,21 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {RESULT}")
 
 
+def drop_unidentified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told at all (not ``und``)."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        model = Model(profiles)
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            for a, z in groups([len(t) for t in texts], 1 << 20, 256):
+                names, _ = model.predict(texts[a:z])
+                yield b.slice(a, z - a).filter(pa.array([n != "und" for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id, parts: int, left: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == left, F.lit(False))
 

@@ -202,11 +202,10 @@ def _cross(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table({"src": np.concatenate(src or none), "dst": np.concatenate(dst or none)})
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (the least id of its class), class_size, kept: one row per input row."""
+def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """node (of id and text), id, has (a word), component: one row per input row."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = Scratch(spark, "minhash-dedup")
     rows = docs.select(row_key(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.save(rows.mapInArrow(_sign, "node long, id long, d1 long, d2 long, bands array<long>, sig binary"), "signed")
 
@@ -244,14 +243,32 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     whole = components(links.unionByName(more), scratch, "second")
 
     member = signed.select("node", "id", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "node"))
-    member = member.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
+    member = member.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
     member = scratch.save(member, "member")
+    scratch.drop("signed", "texts", "members", "where", "reps", "classes")
+    return member
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (the least id of its class), class_size, kept: one row per input row."""
+    member = _members(docs, threshold, id_col, text_col, Scratch(docs.sparkSession, "minhash-dedup"))
     size = member.where("has").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     out = member.join(size, "component", "left")
-    scratch.drop("signed", "texts", "members", "where", "reps")
     class_id = F.when(F.col("has"), F.col("least")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.when(F.col("has"), F.col("size")).otherwise(F.lit(1)).cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay if of each class one does: the least id's."""
+    scratch = Scratch(docs.sparkSession, "minhash-stage")
+    member = _members(docs, threshold, id_col, text_col, scratch)
+    stays = member.where("has").groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "node"))["node"].alias("stay"))
+    gone = member.join(stays, "component").where(F.col("node") != F.col("stay")).select(F.col("node").alias("__node")).distinct()
+    left = docs.withColumn("__node", row_key(id_col, text_col)).join(scratch.save(gone, "gone"), "__node", "left_anti")
+    if not member.where("has").groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat id and text
+        left = left.dropDuplicates(["__node"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
