@@ -6,11 +6,12 @@ import json
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from vecloom.functions.text import START, STOP, WORD_END
+from vecloom.runtime import ship
 from vecloom.types import EngineError
 
 
@@ -56,6 +57,7 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def encode_words(words: Column, ranks: dict[tuple[str, str], int]) -> Column:
     """array<string> of words to array<string> of tokens, a batch at a time; distinct words are merged once."""
+    ship(SparkSession.active())
 
     @pandas_udf("array<string>")
     def run(column: pd.Series) -> pd.Series:
@@ -82,6 +84,7 @@ def token_ids(tokens: Column, vocabulary: dict[str, int], unknown: int = 0) -> C
 
 def lookup_ids(tokens: Column, vocabulary: dict[str, int], unknown: int = 0) -> Column:
     """Ids by a dictionary that travels with the tasks (vocabularies have a fixed size)."""
+    ship(SparkSession.active())
 
     @pandas_udf("array<int>")
     def run(column: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import ranking, text, tokenizer, vector
 from vecloom.operators import benchmarks, encoders, ordering, parity, search, store_log, sync
-from vecloom.runtime import Scratch, table
+from vecloom.runtime import Scratch, ship, table
 from vecloom.sources import coordinator, durable, generators, spec, store
 from vecloom.types import DEFAULT_K, TOKEN_FIXTURE, EngineError
 
@@ -674,6 +674,7 @@ def segment_binary_roundtrip(spark, d):
 
     folder = local_folder(spark)
     rows = index(spark, d).select(F.col("id").cast("string").alias("id"), "embedding")
+    ship(spark)
     spark.dataSource.register(SegmentSource)
     rows.write.format("vector_segment").option("path", folder).option("dimension", D).mode("append").save()
     read = spark.read.format("vector_segment").option("path", folder).option("dimension", D).load()
