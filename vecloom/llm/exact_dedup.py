@@ -48,8 +48,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.col("__n") > 1)
     )
     counts = scratch.save(counts, "counts")
-    rows_each = max(LEAST_ROWS, total.get["rows"] // SHARE)
-    bytes_each = max(LEAST_BYTES, total.get["bytes"] // SHARE)
+    sums = {"rows": 0, "bytes": 0} if src.isEmpty() else total.get  # nothing is observed in an empty plan
+    rows_each = max(LEAST_ROWS, sums["rows"] // SHARE)
+    bytes_each = max(LEAST_BYTES, sums["bytes"] // SHARE)
     hot = counts.where((F.col("__n") > rows_each) | (F.col("__bytes") > bytes_each)).select(
         "__h", F.least(F.col("__n"), F.greatest(F.ceil(F.col("__n") / rows_each), F.ceil(F.col("__bytes") / bytes_each))).cast("int").alias("__salts")
     )
