@@ -61,7 +61,7 @@ def unit_query(query: list[float], dimension: int) -> list[float]:
 
 def visible_only(scored: DataFrame, visible: DataFrame | None) -> DataFrame:
     """Rows whose id is in ``visible`` (all rows if there is no such snapshot)."""
-    return scored if visible is None else scored.join(visible.select("id").distinct(), "id", "left_semi")
+    return scored if visible is None else scored.join(visible.select("id"), "id", "left_semi")
 
 
 def top(scored: DataFrame, k: int = DEFAULT_K) -> DataFrame:
