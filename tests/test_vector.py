@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import vector
-from vecloom.operators import search
+from vecloom.operators import packed, search
 from vecloom.types import EngineError
 
 
@@ -90,3 +90,24 @@ def test_backend_errors(spark):
     assert search.search(index, [1.0, 0.0], backend="arrow", scorer=broken("resultsUnavailable")).count() == 1
     with pytest.raises(EngineError, match="zeroNormVector"):
         search.search(index, [1.0, 0.0], backend="arrow", scorer=broken("zeroNormVector"))
+
+
+def test_packed_index(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((500, 32)).astype(np.float32)
+    rows = frame(spark, [(f"i{k:03}", v.tolist()) for k, v in enumerate(x)]).repartition(3)
+    index = packed.PackedIndex.build(rows, 32)
+    exact = search.VectorIndex.publish(rows, 32)
+    got = index.search({"a": x[0].tolist(), "b": x[1].tolist()}, 5)
+    for name, k in (("a", 0), ("b", 1)):
+        want = search.search(exact, x[k].tolist(), 5).collect()
+        have = got.where(F.col("query_id") == name).orderBy("rank").collect()
+        assert [r["id"] for r in have] == [r["id"] for r in want]
+        assert max(abs(a["score"] - b["score"]) for a, b in zip(have, want)) < 2e-3
+    assert index.search({"a": x[0].tolist()}, -1).count() == 0
+    index.release()
+    for bad, code in (([1.0], "dimensionMismatch"), ([0.0] * 32, "zeroNormVector"), ([float("nan")] * 32, "nonFiniteVector")):
+        with pytest.raises(EngineError) as e:
+            packed.PackedIndex.build(rows.unionAll(frame(spark, [("bad", bad)])), 32)
+        assert e.value.code == code
+    assert packed.PackedIndex.build(frame(spark, []), 32).search({"a": x[0].tolist()}, 5).count() == 0

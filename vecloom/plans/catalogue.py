@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import ranking, text, tokenizer, vector
-from vecloom.operators import benchmarks, encoders, ordering, parity, search, store_log, sync
+from vecloom.operators import benchmarks, encoders, ordering, packed, parity, search, store_log, sync
 from vecloom.runtime import Scratch, ship, table
 from vecloom.sources import coordinator, durable, generators, spec, store
 from vecloom.types import DEFAULT_K, TOKEN_FIXTURE, EngineError
@@ -118,6 +118,15 @@ def search_float16_topk(spark, d):
     return search.similar(published, 0, backend="arrow")
 
 
+@query("SELECT true AS agrees, 120::BIGINT AS n")
+def packed_agreement(spark, d):
+    rows = index(spark, d).select("id", "embedding")
+    built = packed.PackedIndex.build(rows, D)
+    q = search.VectorIndex(rows, D).vector_of(0)
+    both = built.search({"q": q}).withColumnRenamed("score", "half").join(search.score(search.VectorIndex(rows, D), q), "id")
+    return both.agg((F.max(F.abs(F.col("half") - F.col("score"))) <= 2e-3).alias("agrees"), F.count(F.lit(1)).alias("n"))
+
+
 @query(f"{SCORED} {RANKED.format('', 30)}")
 def backend_fallback(spark, d):
     def broken(*_):
