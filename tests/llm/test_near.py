@@ -51,9 +51,12 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [256, 4])
-def test_classes_against_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize("small, rows, units, columns", [(64, 1024, 400_000, 2048), (2, 5, 300, 64)])
+def test_classes_against_brute_force(spark, monkeypatch, small, rows, units, columns):
+    monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minhash_dedup, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(minhash_dedup, "CHUNK_UNITS", units)
+    monkeypatch.setattr(minhash_dedup, "SLICE", columns)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string").repartition(3)
     got = minhash_dedup.near_classes(df).collect()

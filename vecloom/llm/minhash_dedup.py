@@ -9,13 +9,16 @@ time and stop once every slot is taken, so a signature costs little more than it
 1. Documents with the same multiset of shingles make one text class (a sum of digests).
 2. Signatures of 128 slots make 32 bands of 4; classes that share a band are candidates (a pair of
    similarity 0.8 shares none with a chance of 5e-8).
-3. In each band bucket every class is verified against one, by the exact overlap of the multisets, and the
-   links found make components.
-4. Buckets that still hold several components are searched again, in pairs of chunks of bounded size, for
-   links between different components: all pairs whose full signatures agree in at least 62 % of the slots
-   are verified (a pair of similarity 0.8 falls under that with a chance of 1e-6).
+3. In each band bucket every class is verified against the one that shares most buckets with others, by the
+   exact overlap of the multisets, and the links found make components.
+4. Buckets that still hold several components are searched again for links between different ones. In a
+   bucket of up to 64 classes, pairs whose full signatures agree in at least 62 % of the slots are verified (a
+   pair of similarity 0.8 falls under that with a chance of 1e-6), each in the first band that it shares.
+   Larger buckets are compared whole: in pairs of chunks of bounded size, the overlaps of all rows are one
+   matrix product over the shingles that two of them share, and of the links found one goes on for each pair
+   of components.
 
-So a group of near copies costs its size, not its square, and no link between components is lost.
+So pairs within a large group are never spelled out, and no link between components is lost.
 
 Words are runs of letters, digits and _ of the lower-case text; a text with fewer than five is one shingle.
 
@@ -40,8 +43,9 @@ from vecloom.runtime import Scratch, ship, table
 WORDS = 5
 THRESHOLD = 0.8
 SLOTS, BANDS = 128, 32
-CHUNK = 256
 LEAST_AGREEMENT = 0.62
+SMALL_BUCKET = 64
+CHUNK_ROWS, CHUNK_UNITS, SLICE = 1024, 400_000, 2048
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,20 +190,73 @@ def _verifier(threshold: float):
 
 
 def _cross(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Pairs of a bucket's chunk pair in different components whose signatures agree often enough."""
-    low, high = key[1].as_py(), key[2].as_py()
-    chunk, node, part = (t.column(c).to_numpy() for c in ("chunk", "node", "component"))
+    """Pairs of a small bucket in different components whose signatures agree often enough, and in no earlier band."""
+    node, part, band = (t.column(c).to_numpy() for c in ("node", "component", "band"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.float32).reshape(-1, SLOTS)
-    left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-    src, dst = [], []
-    for i in left:
-        js = right[(part[right] != part[i]) & ((node[right] > node[i]) if low == high else True)]
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(node)):
+        js = np.flatnonzero((part != part[i]) & (node > node[i]))
         if len(js):
-            js = js[(sig[js] == sig[i]).mean(1) >= LEAST_AGREEMENT]
+            same = sig[js] == sig[i]
+            first = same.reshape(len(js), BANDS, -1).all(2).argmax(1)
+            js = js[(same.mean(1) >= LEAST_AGREEMENT) & (first >= band[i])]
             src.append(np.full(len(js), node[i]))
             dst.append(node[js])
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"src": np.concatenate(src or none), "dst": np.concatenate(dst or none)})
+    return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+
+def _units(batches):
+    """Shingles of each text as a set: the k-th time of a shingle is a unit of its own."""
+    for b in batches:
+        nodes, texts = b.column("node"), strings(b.column("text"))
+        for a, z in groups([len(t) for t in texts], 1 << 20, 512):
+            row, digest, weight = shingles(texts[a:z])
+            again = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            unit = mix(np.repeat(digest, weight) + again.astype(U) * U(0x9FB21C651E98DF25))
+            n = np.bincount(row, weight, z - a).astype(np.int64)
+            parts = np.split(unit, np.cumsum(n)[:-1])
+            yield pa.RecordBatch.from_arrays([nodes.slice(a, z - a), pa.array(n, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "n_units", "units"])
+
+
+def overlaps(units: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many units each row of ``left`` shares with each row of ``right``: a product of slices of the 0/1 matrix."""
+    row = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    _, unit, count = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[unit]
+    row, unit = row[keep], place[unit[keep]]
+    order = np.argsort(unit, kind="stable")
+    row, unit = row[order], unit[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), SLICE):
+        a, z = np.searchsorted(unit, (at, at + SLICE))
+        m = np.zeros((len(units), SLICE), np.float32)
+        m[row[a:z], unit[a:z] - at] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _exact(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        """Links between different components of a large bucket's chunk pair, one for each pair of components."""
+        low, high = key[1].as_py(), key[2].as_py()
+        chunk, node, part, n = (t.column(c).to_numpy() for c in ("chunk", "node", "component", "n_units"))
+        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        if low == high:  # whatever links with the largest component is on the other side then
+            names, sizes = np.unique(part[left], return_counts=True)
+            left = left[part[left] != names[sizes.argmax()]]
+        if not len(left) or not len(right):
+            return pa.table({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+        units = [np.frombuffer(u, U) for u in t.column("units").to_pylist()]
+        both = overlaps(units, left, right).astype(np.float64)
+        i, j = np.nonzero((both >= threshold * (n[left][:, None] + n[right][None, :] - both) - 1e-9) & (part[left][:, None] != part[right][None, :]))
+        i, j = left[i], right[j]
+        pair = np.stack([np.minimum(part[i], part[j]), np.maximum(part[i], part[j])], 1)
+        one = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.zeros(0, np.int64)
+        return pa.table({"src": node[i[one]], "dst": node[j[one]]})
+
+    return run
 
 
 def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -216,9 +273,11 @@ def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scra
     reps = scratch.save(reps, "reps")
 
     # 2: buckets of two classes or more
-    entries = reps.select("node", F.explode("bands").alias("bucket"))
-    sized = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
+    entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    sized = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.save(entries.join(sized, "bucket"), "members")
+    known = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    centres = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node"))["node"].alias("centre"))
     wanted = members.select("node").distinct()
     texts = scratch.save(rows.select("node", "text").join(wanted, "node").dropDuplicates(["node"]), "texts")
 
@@ -227,25 +286,32 @@ def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scra
         return scratch.save(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_verifier(threshold), "src long, dst long"), name)
 
     # 3: each class against one of its bucket
-    star = members.where("node != centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
+    star = members.join(centres, "bucket").where("node != centre").select(F.least("centre", "node").alias("src"), F.greatest("centre", "node").alias("dst")).distinct()
     links = verified(star, "star")
     part = components(links, scratch, "first")
 
     # 4: links between the components that are left in a bucket
-    where = members.select("bucket", "node", "n").join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    where = members.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     where = scratch.save(where, "where")
     open_ = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = where.join(open_, "bucket").join(reps.select("node", "sig"), "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "sig")
-    cross = dealt.groupBy("bucket", "low", "high").applyInArrow(_cross, "src long, dst long").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    where = scratch.save(where.join(open_, "bucket"), "open")
+    small = where.where(F.col("n") <= SMALL_BUCKET).join(reps.select("node", "sig"), "node")
+    cross = small.groupBy("bucket").applyInArrow(_cross, "src long, dst long").distinct()
+    large = where.where(F.col("n") > SMALL_BUCKET)
+    units = texts.join(large.select("node").distinct(), "node").select("node", "text").mapInArrow(_units, "node long, n_units long, units binary")
+    units = scratch.save(units, "units")
+    weights = large.join(units.select("node", "n_units"), "node").groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n_units") / CHUNK_UNITS), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS)).cast("int").alias("chunks"))
+    dealt = large.join(weights, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component")
+    whole = dealt.join(units, "node").groupBy("bucket", "low", "high").applyInArrow(_exact(threshold), "src long, dst long").distinct()
+    whole = scratch.save(whole, "whole")
     more = verified(cross, "cross")
-    whole = components(links.unionByName(more), scratch, "second")
+    reach = components(links.unionByName(more).unionByName(whole), scratch, "second")
 
     member = signed.select("node", "id", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "node"))
-    member = member.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
+    member = member.join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
     member = scratch.save(member, "member")
-    scratch.drop("signed", "texts", "members", "where", "reps", "classes")
+    scratch.drop("signed", "texts", "members", "where", "open", "units", "reps", "classes")
     return member
 
 
@@ -270,5 +336,19 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, s, count(*) AS c
+  FROM (SELECT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0)
+  GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN t x ON x.doc_id = p.a JOIN t y ON y.doc_id = p.b WHERE 5 * o >= 4 * (x.n + y.n - o)),
+r(v, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v),
+c AS (SELECT v AS doc_id, min(m) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM c
+"""
+
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
