@@ -142,5 +142,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     return out.select(F.col("__id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
 
 
+ORACLE = """
+WITH RECURSIVE n AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / s) AS u
+  FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS s FROM embeddings)),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+  WHERE list_sum(list_transform(generate_series(1, len(a.u)), lambda i: a.u[i] * b.u[i])) >= 0.95),
+r(v, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v),
+c AS (SELECT v AS vec_id, min(m) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_minhash_dedup": minhash_dedup.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
+}
