@@ -17,7 +17,7 @@ the input are ignored here and kept by :func:`drop_duplicates_exact`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vecloom.runtime import Scratch, shuffle_partitions
@@ -30,13 +30,14 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] = ()) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, then the payload columns."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] = (), again: Column | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, then the payload columns.
+
+    ``again`` may say how to read the text from the payload columns, which are named __p_0, __p_1 ... inside.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    src = docs.select(
-        F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__norm"), *[F.col(c).alias(f"__p_{i}") for i, c in enumerate(payload)]
-    ).withColumn("__h", F.xxhash64("__norm"))
+    src = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__norm"), *[F.col(c).alias(f"__p_{i}") for i, c in enumerate(payload)]).withColumn("__h", F.xxhash64("__norm"))
 
     # how often each digest occurs: sums before the shuffle, one small row per digest after it
     total = Observation()
@@ -60,9 +61,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         src.join(F.broadcast(hot), "__h", "left")
         .withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__id"), F.col("__salts")).cast("int"), F.lit(-1)))
         .withColumn("__lead", F.substring("__norm", 1, 32))
-        .drop("__salts")
+        .drop("__salts", *(["__norm"] if again is not None else []))
         .repartitionByRange(shuffle_partitions(spark), *key)
     )
+    if again is not None:  # the payload has the text: it is normalised anew rather than sent twice
+        dealt = dealt.withColumn("__norm", normalised(again))
     # the range partitioning already clusters these keys: the window adds a sort, no second exchange
     same = Window.partitionBy(*key, "__norm")
     order = same.orderBy(F.col("__id").asc_nulls_last())
@@ -105,7 +108,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_duplicates_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs``, with all their columns as they were."""
     packed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = exact_groups(packed, id_col, text_col, payload=["__row"]).where("kept")
+    kept = exact_groups(packed, id_col, text_col, ["__row"], F.col("__p_0").getField(text_col)).where("kept")
     return kept.select("__row.*")
 
 
