@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.textkit import batch, groups
+from vecloom.llm.textkit import batch, slices, strings
 from vecloom.runtime import ship, table
 
 PROFILE = 400
@@ -65,11 +65,11 @@ COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64(
 
 def count_grams(batches):
     for b in batches:
-        texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-        names = sorted(set(langs))
-        for a, z in groups([len(t) for t in texts], most_rows=1 << 20):
-            cp, row = letters(texts[a:z])
-            of = np.array([names.index(x) for x in langs[a:z]])
+        for part in slices(b, "text", 1 << 20, 1 << 20):
+            langs = part.column("lang").to_pylist()
+            names = sorted(set(langs))
+            cp, row = letters(strings(part.column("text")))
+            of = np.array([names.index(x) for x in langs])
             codes = gram_codes(cp, row)
             gram, lang = np.concatenate([c for c, _ in codes]), of[np.concatenate([r for _, r in codes])]
             for k in np.unique(lang):
@@ -146,10 +146,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     def run(batches):
         model = Model(profiles)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for a, z in groups([len(t) for t in texts], 1 << 20, 256):
-                names, scores = model.predict(texts[a:z])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+            for part in slices(b, 1, most_rows=256):
+                names, scores = model.predict(strings(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {RESULT}")
 
@@ -161,10 +160,9 @@ def drop_unidentified(docs: DataFrame, profiles: dict[str, list[int]], text_col:
     def run(batches):
         model = Model(profiles)
         for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
-            for a, z in groups([len(t) for t in texts], 1 << 20, 256):
-                names, _ = model.predict(texts[a:z])
-                yield b.slice(a, z - a).filter(pa.array([n != "und" for n in names], pa.bool_()))
+            for part in slices(b, text_col, most_rows=256):
+                names, _ = model.predict(strings(part.column(text_col)))
+                yield part.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

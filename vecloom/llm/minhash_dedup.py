@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.textkit import BASE, U, groups, mix, strings, words
+from vecloom.llm.textkit import BASE, U, groups, mix, release, slices, strings, words
 from vecloom.runtime import Scratch, ship, table
 
 WORDS = 5
@@ -143,10 +143,9 @@ def row_key(id_col: str, text_col: str):
 
 def _sign(batches):
     for b in batches:
-        texts = strings(b.column("text"))
-        for a, z in groups([len(t) for t in texts], 1 << 20, 512):
-            row, digest, weight = shingles(texts[a:z])
-            n = z - a
+        for part in slices(b, "text", 1 << 19):
+            n = part.num_rows
+            row, digest, weight = shingles(strings(part.column("text")))
             has = np.bincount(row, minlength=n) > 0
             sums = []
             for k in (1, 2):
@@ -157,8 +156,8 @@ def _sign(batches):
             band = bands(sig).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("node").slice(a, n),
-                    b.column("id").slice(a, n),
+                    part.column("node"),
+                    part.column("id"),
                     *[pa.array(s, pa.int64(), mask=~has) for s in sums],
                     pa.array([x if h else None for x, h in zip(band, has)], pa.list_(pa.int64())),
                     pa.array([x.astype(np.float32).tobytes() if h else None for x, h in zip(sig, has)], pa.binary()),
@@ -185,6 +184,7 @@ def _verifier(threshold: float):
             for i in range(b.num_rows):
                 keep[i] = similarity(of(src[i], ta[i]), of(dst[i], tb[i])) >= threshold - 1e-12
             yield pa.RecordBatch.from_arrays([pa.array(src[keep], pa.int64()), pa.array(dst[keep], pa.int64())], names=["src", "dst"])
+            release()
 
     return verify
 

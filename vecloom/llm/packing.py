@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import vocabulary
-from vecloom.llm.textkit import strings
+from vecloom.llm.textkit import slices, strings
 from vecloom.runtime import Scratch, ship, table
 
 CAPACITY = 2048
@@ -98,10 +98,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         coder = vocabulary.ByteLevel(data.value)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                ids = np.array([*coder.ids(text), 0], "<u4")
-                for k, (at, size) in enumerate(cut(len(ids), capacity)):
-                    rows.append((doc, k, at, size, zlib.crc32(ids[at : at + size].tobytes())))
+            for part in slices(b, 1, 1 << 20):
+                for doc, text in zip(part.column(0).to_pylist(), strings(part.column(1))):
+                    ids = np.array([*coder.ids(text), 0], "<u4")
+                    for k, (at, size) in enumerate(cut(len(ids), capacity)):
+                        rows.append((doc, k, at, size, zlib.crc32(ids[at : at + size].tobytes())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -146,7 +147,7 @@ def _pack_round(rows: DataFrame, tasks: int, round_no: int, last: bool, capacity
             yield flush()
 
     order = F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32")
-    dealt = rows.withColumn("__o", order).repartition(tasks, F.pmod(F.col("__o"), F.lit(tasks))).sortWithinPartitions("__o", "doc_id", "piece")
+    dealt = rows.withColumn("__o", order).repartition(tasks, "__o").sortWithinPartitions("__o", "doc_id", "piece")
     return dealt.drop("__o").mapInArrow(run, PLACED)
 
 

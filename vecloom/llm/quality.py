@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.language_id import held_out
-from vecloom.llm.textkit import U, groups, mix, strings, words
+from vecloom.llm.textkit import U, mix, slices, strings, words
 from vecloom.runtime import ship, table
 
 TRIGRAMS = 2048
@@ -110,10 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
 
     def run(batches):
         for b in batches:
-            texts = [t.encode() for t in strings(b.column("text"))]
-            for a, z in groups([len(t) for t in texts]):
-                x = features(texts[a:z])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), b.column("quality").slice(a, z - a).cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "quality", "x"])
+            for part in slices(b, "text", 1 << 20):
+                x = features([t.encode() for t in strings(part.column("text"))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r["quality"], r["doc_id"], r["x"]))
@@ -136,9 +135,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            texts = [t.encode() for t in strings(b.column(1))]
-            for a, z in groups([len(t) for t in texts]):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(shared.value.score(texts[a:z]), pa.float64())], names=[id_col, "score"])
+            for part in slices(b, 1, 1 << 20):
+                scores = shared.value.score([t.encode() for t in strings(part.column(1))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, score double")
 

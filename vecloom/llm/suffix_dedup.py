@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.textkit import BASE, BYTE, U, mix
+from vecloom.llm.textkit import BASE, BYTE, U, mix, release
 from vecloom.runtime import Scratch, ship, shuffle_partitions, table
 
 LENGTH = 50
 HALF = LENGTH // 2
 SPREAD = LENGTH - HALF + 1
 RUN = 32
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -232,6 +232,13 @@ def open_block(payload: bytes, id_col: str, text_col: str, deep: bool) -> tuple[
     return t, texts, Block(texts, ids, deep)
 
 
+def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for k in range(b.num_rows):
+        yield b.slice(k, 1).to_pylist()[0]
+        release()
+
+
 def gather_bits(rows: list[dict], counts: np.ndarray) -> np.ndarray:
     """The replies of all buckets as one array of booleans, ``counts`` of them from each bucket."""
     by = {r["bucket"]: r["bits"] for r in rows or ()}
@@ -272,6 +279,8 @@ def refine_bucket(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     least = np.empty(len(f), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(d[order], first), np.diff(np.append(first, len(f))))
     smaller = least < d
+    del f, d, order, first, least
+    release()
     cuts = np.cumsum([len(x) for x in found])[:-1]
     return pa.table({"block": [b for b, _ in rows], "bucket": [key[0].as_py()] * len(rows), "bits": [np.packbits(x).tobytes() for x in np.split(smaller, cuts)]}, schema=REPLY)
 
@@ -292,7 +301,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
 
     def entries(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 block = open_block(r["payload"], id_col, text_col, False)[2]
                 key, many, _ = block.entries()
                 edges = bucket_edges(key, buckets)
@@ -307,7 +316,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
 
     def contexts(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 block = open_block(r["payload"], id_col, text_col, True)[2]
                 key, _, place = block.entries()
                 edges = bucket_edges(key, buckets)
@@ -325,7 +334,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 t, texts, block = open_block(r["payload"], id_col, text_col, True)
                 key, _, place = block.entries()
                 edges = bucket_edges(key, buckets)
@@ -384,5 +393,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _passes(docs, id_col, text_col, finish, docs.schema)
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT doc_id, h, unnest(generate_series(0, (length(h) // 2 - 50) // 500)) AS c FROM d WHERE length(h) >= 100),
+q AS (SELECT doc_id, c, substr(h, CAST(1000 * c + 1 AS BIGINT), 1098) AS h FROM e),
+w AS (SELECT doc_id, 500 * c + i AS i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, c, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM q)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > first),
+k AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+x AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY 1, 2),
+y AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM x),
+o AS (SELECT y.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS kept, max(z) AS e FROM y JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, CAST(2 * e + 1 AS BIGINT)), h))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_spans(table(spark, sf_dir, "documents"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: An odd multiplier and its inverse modulo 2**64.
@@ -21,7 +23,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base & (1 << 64) - 1, U)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 1 << 22:
+        if len(have) <= 1 << 20:
             _POWERS[base] = have
     return have[:n]
 
@@ -65,6 +67,30 @@ def words(raw: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mix((sums[end] - sums[start]) * powers(INVERSE, len(buf) + 1)[start])
 
 
+def slices(b: pa.RecordBatch, column: str | int, most_bytes: int = 1 << 18, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded text; what they took is given back to the system now and then."""
+    sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+    for k, (a, z) in enumerate(groups(sizes, most_bytes, most_rows)):
+        yield b.slice(a, z - a)
+        if k % 32 == 31:
+            release()
+    release()
+
+
+_LIBC: list = []
+
+
+def release() -> None:
+    """Give freed memory back: workers are kept for later tasks, and so would be the most they ever used."""
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _LIBC.append(lambda _: 0)
+    _LIBC[0](0)
+    pa.default_memory_pool().release_unused()
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of a column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]
