@@ -36,6 +36,17 @@ def test_exact_groups(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in brute_exact(rows) if r[3])
 
 
+def test_hot_texts_that_share_ids(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_ROWS", 3)
+    rows = [(None, t) for t in ("hot a", "hot b") for _ in range(5)]  # no id at all: one salt for both
+    rows += [(i, t) for t in ("hot c", "hot d") for i in (7, 7, 7, *range(8, 20))] + [(None, "hot d")]
+    df = spark.createDataFrame([(i, t, "en", "odd") for i, t in rows], DOCS).repartition(3)
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [tuple(r) for r in exact_dedup.exact_groups(df).collect()]
+    assert sorted(got, key=key) == sorted(brute_exact(rows), key=key)
+    assert sorted(r["text"] for r in exact_dedup.drop_duplicates_exact(df).collect()) == ["hot a", "hot b", "hot c", "hot d"]
+
+
 def test_exact_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(df).count() == 0 and exact_dedup.drop_duplicates_exact(df).count() == 0

@@ -88,13 +88,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch.drop("counts")
     settled = (
         parts.where((F.col("__salt") >= 0) & (F.col("__rn") == 1))
-        .groupBy("__rep")
-        .agg(F.min("__first").alias("__keep"), F.sum("__size").alias("__total"), F.collect_list(F.struct("__first", "__salt")).alias("__subs"))
-        .select("__keep", "__total", F.explode("__subs").alias("__s"))
-        .select("__keep", "__total", F.col("__s.__first").alias("__first"), F.col("__s.__salt").alias("__salt"))
+        .groupBy("__rep", "__sha")
+        .agg(F.min("__first").alias("__keep"), F.sum("__size").alias("__total"), F.collect_list("__salt").alias("__salts"))
+        .select(F.col("__sha").alias("__of"), "__keep", "__total", F.explode("__salts").alias("__part"))
     )
-    joined = parts.drop("__rep").join(F.broadcast(settled), (parts["__salt"] >= 0) & parts["__salt"].eqNullSafe(settled["__salt"]) & parts["__first"].eqNullSafe(settled["__first"]), "left")
-    keep = F.when(parts["__salt"] >= 0, F.col("__keep")).otherwise(parts["__first"])
+    # a text has one sub-group of each salt; ids cannot name it, for they may be null or repeated
+    joined = parts.drop("__rep").join(F.broadcast(settled), (F.col("__salt") == F.col("__part")) & (F.col("__sha") == F.col("__of")), "left")
+    keep = F.when(F.col("__salt") >= 0, F.col("__keep")).otherwise(F.col("__first"))
     return joined.select(
         F.col("__id").alias(id_col),
         keep.alias("keep_id"),
