@@ -166,6 +166,24 @@ def test_main_text(spark):
     assert html_extract.main_text(df.where("page_id < 0")).count() == 0
 
 
+def texts(spark, pages):
+    rows = [(i, f"http://{host}.example/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_copies_are_no_template(spark):
+    article = "<body><div class=top>Shop</div><article><h1>Title</h1><p>{}</p></article>"
+    many = "<body><div class=top>Shop</div><article><h1>Title</h1><p>Part {0}</p><p>More {0}</p></article>"
+    pages = [("a", article.format("Same words"))] * 4 + [("a", many.format(i)) for i in range(9)]
+    pages += [("b", "<body><div>Menu</div><h1>Title</h1><p>Same words</p>")] * 3
+    pages += [("c", article.format(f"Own {i}")) for i in range(3)] + [("c", article.format("Own 0"))] * 5
+    got = texts(spark, pages)
+    assert got[:4] == ["Title\nSame words"] * 4 and got[4] == "Title\nPart 0\nMore 0"
+    assert got[13:16] == ["Menu\nTitle\nSame words"] * 3
+    assert got[16:] == [f"Title\nOwn {i}" for i in (0, 1, 2, 0, 0, 0, 0, 0)]
+
+
 def test_tree_matching():
     tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
     a, b = tree("<div><p>x</p><ul><li>1<li>2</ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>3</ul></div><footer>f</footer>")

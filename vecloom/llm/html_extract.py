@@ -3,13 +3,16 @@
 Pages become trees of block elements in which neighbouring siblings with one label are a group. The most
 frequent tree of a host is its wrapper; each page's tree is aligned with it by simple tree matching (the
 largest order- and parent-preserving match of equal labels). A wrapper node whose text is the same on most
-pages of the host is template; slots whose text varies are content. Slots that pages vary but that are not
+pages of the host is template; slots whose text varies are content. Copies of a page speak once: texts are
+counted over distinct contents (the article's text, or all text of a page without one), so that a text is
+template only beside text that varies, and every page that has the node counts, alone in its run or not.
+An article of which only headings would be left is returned whole. Slots that pages vary but that are not
 the article go by their element, class, id or role (menus, headers, footers, asides, forms, adverts,
 notices, reader comments) or, outside an article element, by being mostly links. Groups of siblings inside
 the article vary in number and text by nature and always are content.
 
-Statistics of templates are sums over all pages of a host; a host with a third of all pages is summed
-before the shuffle, and the wrappers (one small tree per host) are joined by broadcast up to a checked
+Statistics of templates are counts over all distinct contents of a host; a host with a third of all pages is
+counted in parts by content first, and the wrappers (one small tree per host) are joined by broadcast up to a checked
 number of hosts and beyond it by a salted join.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed
@@ -222,37 +225,14 @@ class Wrappers:
         return w
 
 
-def observed(html: str, wrapper: list) -> set[tuple[int, int | None]]:
-    """What a page tells of its host's template: (wrapper node, text digest), and (wrapper node, None) for the node itself."""
-    root = parse(html)
-    place = aligned(Group("#", [root]), wrapper)
-    out: set[tuple[int, int | None]] = set()
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        k = place.get(id(node))
-        if k is not None and (k >= 0 or not within(node)):
-            text = own_text(node)
-            if text:
-                k = k if k >= 0 else -k - 1
-                out.add((k, digest(text)))
-                out.add((k, None))
-        todo += [p for p in node.parts if type(p) is Node]
-    return out
-
-
-def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
-    """The content blocks of a page, joined by line breaks."""
-    root = parse(html)
-    place = aligned(Group("#", [root]), wrapper) if template else {}
-    blocks: list[tuple[str, int, bool, bool]] = []  # text, characters in links, inside the article, template
+def blocks(root: Node) -> list[tuple[str, int, bool, Node]]:
+    """The blocks of text of a page in order, without nodes that are off: text, characters in links, inside the article, node."""
+    out: list[tuple[str, int, bool, Node]] = []
 
     def walk(node: Node, inside: bool) -> None:
         if node.off:
             return
         inside = inside or node.tag in ("article", "main") or node.label.endswith("@main")
-        k = place.get(id(node))
-        fixed = k is not None and (k >= 0 or not inside) and not (inside and node.tag in HEADINGS) and (k if k >= 0 else -k - 1, digest(own_text(node))) in template
         pieces: list[str] = []
         linked = 0
 
@@ -260,7 +240,7 @@ def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
             nonlocal linked
             text = tidy(pieces)
             if text:
-                blocks.append((text, linked, inside, fixed))
+                out.append((text, linked, inside, node))
             pieces.clear()
             linked = 0
 
@@ -274,11 +254,50 @@ def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
         flush()
 
     walk(root, False)
-    main = [b for b in blocks if b[2]]
+    return out
+
+
+def content(root: Node) -> int:
+    """Digest of what a page says: its article, or all its text. Copies of an article have one digest."""
+    said = blocks(root)
+    return digest("\n".join([b[0] for b in said if b[2]] or [b[0] for b in said]))
+
+
+def observed(root: Node, wrapper: list) -> set[tuple[int, int | None]]:
+    """What a page tells of its host's template: (wrapper node, text digest), and (wrapper node, None) for the node itself."""
+    place = aligned(Group("#", [root]), wrapper)
+    out: set[tuple[int, int | None]] = set()
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        k = place.get(id(node))
+        if k is not None:
+            text = own_text(node)
+            if text:
+                if k >= 0 or not within(node):
+                    out.add((k if k >= 0 else -k - 1, digest(text)))
+                out.add((k if k >= 0 else -k - 1, None))
+        todo += [p for p in node.parts if type(p) is Node]
+    return out
+
+
+def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
+    """The content blocks of a page, joined by line breaks."""
+    root = parse(html)
+    place = aligned(Group("#", [root]), wrapper) if template else {}
+
+    def fixed(node: Node, inside: bool) -> bool:
+        k = place.get(id(node))
+        return k is not None and (k >= 0 or not inside) and not (inside and node.tag in HEADINGS) and (k if k >= 0 else -k - 1, digest(own_text(node))) in template
+
+    said = blocks(root)
+    main = [b for b in said if b[2]]
     if main:
-        kept = [b for b in main if not b[3]] or main
+        kept = [b for b in main if not fixed(b[3], True)]
+        if all(b[3].tag in HEADINGS for b in kept):
+            kept = main
     else:
-        kept = [b for b in blocks if not b[3] and b[1] * 2 <= len(b[0])]
+        kept = [b for b in said if not fixed(b[3], False) and b[1] * 2 <= len(b[0])]
     return "\n".join(b[0] for b in kept)
 
 
@@ -312,12 +331,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             out: list[tuple] = []
             for h, t, w in zip(b.column("host").to_pylist(), strings(b.column("html")), b.column("wrapper").to_pylist()):
-                out += [(h, k, d) for k, d in sorted(observed(t, known.get(w)), key=str)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["host", "node", "digest"])
+                root = parse(t)
+                said = content(root)
+                out += [(h, k, d, said) for k, d in sorted(observed(root, known.get(w)), key=str)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "digest", "said"])
 
     # a host needs LEAST_PAGES pages before anything on it can be a template
-    told = _with_small(rows.select("host", "page_id", "html"), wrappers, hosts).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node int, digest long")
-    sums = told.groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("digest").isNull())
+    told = _with_small(rows.select("host", "page_id", "html"), wrappers, hosts).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node int, digest long, said long")
+    sums = told.groupBy("host", "node", "digest").agg(F.count_distinct("said").alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("digest").isNull())
     sums = scratch.save(sums, "sums")
     whole = sums.where("digest IS NULL").select("host", "node", F.col("n").alias("all"))
     fixed = sums.where("digest IS NOT NULL").join(whole, ["host", "node"]).where(F.col("n") >= F.col("all") * SHARE)
