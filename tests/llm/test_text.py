@@ -184,6 +184,27 @@ def test_copies_are_no_template(spark):
     assert got[16:] == [f"Title\nOwn {i}" for i in (0, 1, 2, 0, 0, 0, 0, 0)]
 
 
+def alone(html):
+    return html_extract.extract(html, ["#", []], set())
+
+
+@pytest.mark.parametrize("name", ["home has-sidebar", "no-sidebar single-post", "content-with-sidebar", "post comments-open", "fixed-header", "legal-article"])
+def test_marks_are_whole_names(name):
+    for html in ("<body class='{}'><h1>T</h1><p>x</p>", "<body><div class='{}'><h1>T</h1><p>x</p></div>", "<body><article class='{}'><h1>T</h1><p>x</p></article>", "<body><article><div class='article-header {}'><h1>T</h1></div><p>x</p>"):
+        assert alone(html.format(name)) == "T\nx"
+
+
+def test_marks_and_the_article():
+    for tag in ("body", "main", "article"):
+        assert alone(f"<{tag} class='sidebar'><p>x</p></{tag}>") == "x"
+    assert alone("<div class='overlay'><main><p>x</p></main><p class=ad>y</p></div>") == "x"
+    assert alone("<div id=side><article><p>x</p><div class=share>y</div></article></div>") == "x"
+    assert alone("<article><div class=header><h1>T</h1></div><p>x</p></article><div id=comments><article><p>c</p></article></div>") == "T\nx"
+    assert alone("<p>x</p><div id=comments><article><p>c</p></article></div>") == "x"
+    for name in ("ad", "site-footer", "comments-area", "cookie_notice", "ad2"):
+        assert alone(f"<div class='{name}'>y</div><p>x</p>") == "x"
+
+
 def test_tree_matching():
     tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
     a, b = tree("<div><p>x</p><ul><li>1<li>2</ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>3</ul></div><footer>f</footer>")

@@ -8,7 +8,8 @@ counted over distinct contents (the article's text, or all text of a page withou
 template only beside text that varies, and every page that has the node counts, alone in its run or not.
 An article of which only headings would be left is returned whole. Slots that pages vary but that are not
 the article go by their element, class, id or role (menus, headers, footers, asides, forms, adverts,
-notices, reader comments) or, outside an article element, by being mostly links. Groups of siblings inside
+notices, reader comments; whole class names, never those of html, body, main, article or a node around the
+main article, see ``marked`` and ``spare``) or, outside an article element, by being mostly links. Groups of siblings inside
 the article vary in number and text by nature and always are content.
 
 Statistics of templates are counts over all distinct contents of a host; a host with a third of all pages is
@@ -49,9 +50,11 @@ SCOPE = {"html", "body", "table", "ul", "ol", "dl", "div", "article", "section",
 NEVER = {"head", "nav", "aside", "footer", "form", "button", "select", "option", "label", "fieldset", "template", "svg", "object", "video", "audio", "canvas", "menu", "dialog", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|notification|alert|popup|modal|overlay|comments?|replies|respond|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar|copyright|legal|disclaimer)(?=$|[\s_-]|\d)",
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|notification|alert|popup|modal|overlay|comments?|replies|respond|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar|copyright|legal|disclaimer)\d*",
     re.I,
 )
+PLACES = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "area", "list", "box", "container", "wrapper", "wrap", "bar", "links"}
+OTHERS = re.compile(r"comments?|replies|respond|disqus|discussion|related|recommended", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAST_PAGES, SHARE = 3, 0.6
 BROADCAST_HOSTS = 20_000
@@ -59,17 +62,19 @@ SALT = 32
 
 
 class Node:
-    __slots__ = ("tag", "label", "parts", "parent", "off")
+    __slots__ = ("tag", "label", "parts", "parent", "off", "mark")
 
     def __init__(self, tag: str, label: str, parent, off: bool):
-        self.tag, self.label, self.parent, self.off = tag, label, parent, off
+        self.tag, self.label, self.parent, self.off, self.mark = tag, label, parent, off, ""
         self.parts: list = []  # child nodes, and (text, is_link) in between
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave only their text."""
     root = Node("#", "#", None, False)
-    at, stack, links, pos, n = root, [], 0, 0, len(html)
+    at, links, pos, n = root, 0, 0, len(html)
+    articles: list[Node] = []
+    signs = False
     while pos < n:
         m = TOKEN.search(html, pos)
         if m is None:
@@ -117,18 +122,69 @@ def parse(html: str) -> Node:
                 role = value.strip().lower()
             else:
                 mark += f" {value}"
-        off = at.off or tag in NEVER or role in ROLES or bool(mark and MARKS.search(mark)) or (tag == "header" and not within(at))
+        off = tag in NEVER or role in ROLES or (tag == "header" and not within(at))
         node = Node(tag, f"{tag}{'.' + ' '.join(sorted(mark.split())) if mark else ''}{'@' + role if role else ''}", at, off)
+        if mark and tag not in ("html", "body") and not is_article(node):
+            node.mark = marked(mark, at)
+            signs = signs or bool(node.mark)
         at.parts.append(node)
+        if is_article(node):
+            articles.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             at = node
+    if signs:
+        spare(articles)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c in node.parts:
+            if type(c) is Node:
+                c.off = node.off or c.off or bool(c.mark)
+                todo.append(c)
     return root
 
 
+def is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.label.endswith("@main")
+
+
+def marked(names: str, at: Node) -> str:
+    """The classes and ids that name no content: a mark, alone or with other marks and names of places only."""
+    found = []
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if any(MARKS.fullmatch(p) for p in parts) and all(p.lower() in PLACES or MARKS.fullmatch(p) for p in parts):
+            if name.lower() != "header" or not within(at):
+                found.append(name)
+    return " ".join(found)
+
+
+def spare(articles: list[Node]) -> None:
+    """Clear the marks of nodes that hold main or the page's articles; comments and teasers, which can be articles, keep theirs."""
+
+    def above(node: Node) -> list[Node]:
+        out = []
+        while (node := node.parent) is not None:
+            if node.mark:
+                out.append(node)
+        return out
+
+    over = [(a, above(a)) for a in articles]
+    for a, marks in over:
+        if a.tag != "article":
+            for m in marks:
+                m.mark = ""
+    if all(any(m.mark for m in marks) for _, marks in over):
+        for _, marks in over:
+            for m in marks:
+                if not OTHERS.search(m.mark):
+                    m.mark = ""
+
+
 def within(node: Node | None) -> bool:
     """Is this node an article or main element, or inside one?"""
     while node is not None:
-        if node.tag in ("article", "main") or node.label.endswith("@main"):
+        if is_article(node):
             return True
         node = node.parent
     return False
@@ -232,7 +288,7 @@ def blocks(root: Node) -> list[tuple[str, int, bool, Node]]:
     def walk(node: Node, inside: bool) -> None:
         if node.off:
             return
-        inside = inside or node.tag in ("article", "main") or node.label.endswith("@main")
+        inside = inside or is_article(node)
         pieces: list[str] = []
         linked = 0
 
