@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -185,7 +186,7 @@ def test_copies_are_no_template(spark):
 
 
 def alone(html):
-    return html_extract.extract(html, ["#", []], set())
+    return html_extract.extract(html, None, set())
 
 
 @pytest.mark.parametrize("name", ["home has-sidebar", "no-sidebar single-post", "content-with-sidebar", "post comments-open", "fixed-header", "legal-article"])
@@ -205,6 +206,19 @@ def test_marks_and_the_article():
         assert alone(f"<div class='{name}'>y</div><p>x</p>") == "x"
 
 
+def test_layouts_of_a_host(spark):
+    a = "<body><div>Menu A</div><p>own a{}</p><div>Foot A</div>"
+    b = "<body><ul><li>Menu B</li></ul><section><p>own b{}</p></section><h3>Foot B</h3>"
+    pages = [("a", a.format(i)) for i in range(5)] + [("a", b.format(i)) for i in range(4)]
+    pages += [("b", a.format(i)) for i in range(5)] + [("b", a.replace("<p>", "<h4>Notice</h4><p>").format(i)) for i in range(5, 9)]
+    pages += [("c", f"<body><div>Top</div><article><p>own {i}</p>{'<h5>x</h5><div>y</div>' * i}</article><div>Foot</div>") for i in range(4)]
+    got = texts(spark, pages)
+    assert got[:9] == [f"own a{i}" for i in range(5)] + [f"own b{i}" for i in range(4)]
+    assert got[9:18] == [f"own a{i}" for i in range(9)]
+    tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
+    assert len(html_extract.induced([json.dumps(tree(p).shape()) for _, p in pages])) == 2
+
+
 def test_tree_matching():
     tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
     a, b = tree("<div><p>x</p><ul><li>1<li>2</ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>3</ul></div><footer>f</footer>")

@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of block elements in which neighbouring siblings with one label are a group. The most
-frequent tree of a host is its wrapper; each page's tree is aligned with it by simple tree matching (the
-largest order- and parent-preserving match of equal labels). A wrapper node whose text is the same on most
+frequent trees of a host that are unlike each other outside articles are its wrappers, one for a layout (of
+its 64 most frequent trees, 8 at most; other pages go to the wrapper most like them); each page's tree is
+aligned with its wrapper by simple tree matching (the largest order- and parent-preserving match of equal
+labels), and nodes that the wrapper lacks are told by their path of labels, so that constant blocks of any
+page can be seen. A wrapper node whose text is the same on most
 pages of the host is template; slots whose text varies are content. Copies of a page speak once: texts are
 counted over distinct contents (the article's text, or all text of a page without one), so that a text is
 template only beside text that varies, and every page that has the node counts, alone in its run or not.
@@ -13,8 +16,8 @@ main article, see ``marked`` and ``spare``) or, outside an article element, by b
 the article vary in number and text by nature and always are content.
 
 Statistics of templates are counts over all distinct contents of a host; a host with a third of all pages is
-counted in parts by content first, and the wrappers (one small tree per host) are joined by broadcast up to a checked
-number of hosts and beyond it by a salted join.
+counted in parts by content first, and the wrappers (small trees) are joined by broadcast up to a checked
+number of them and beyond it by a salted join.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined in page order by a line break; a ``br`` is white space.
@@ -34,7 +37,7 @@ from collections import OrderedDict
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.textkit import strings
@@ -55,9 +58,12 @@ MARKS = re.compile(
 )
 PLACES = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "area", "list", "box", "container", "wrapper", "wrap", "bar", "links"}
 OTHERS = re.compile(r"comments?|replies|respond|disqus|discussion|related|recommended", re.I)
+ARTICLE = re.compile(r"(?:article|main)(?:$|[.@])|.*@main$", re.S)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAST_PAGES, SHARE = 3, 0.6
-BROADCAST_HOSTS = 20_000
+#: Trees of a host that are looked at for layouts, the most layouts of a host, and the likeness that makes one layout of two trees.
+SHAPES, LAYOUTS, ALIKE = 64, 8, 0.6
+BROADCAST_LAYOUTS = 20_000
 SALT = 32
 
 
@@ -216,6 +222,56 @@ class Group:
     def shape(self) -> list:
         return [self.label, [c.shape() for c in self.children]]
 
+    def outline(self) -> Group:
+        """The tree without what is inside articles, which varies by nature and is no layout."""
+        new = Group(self.label, [])
+        if not ARTICLE.match(self.label):
+            new.children = [c.outline() for c in self.children]
+        return new
+
+    def size(self) -> int:
+        return 1 + sum(c.size() for c in self.children)
+
+
+def grown(shape: list) -> Group:
+    """The tree of a shape, without members."""
+    new = Group(shape[0], [])
+    new.children = [grown(c) for c in shape[1]]
+    return new
+
+
+def alike(a: Group, b: Group) -> float:
+    """Share of the nodes of two trees that match."""
+    return 2 * match(a, b.shape())[0] / (a.size() + b.size())
+
+
+class Layouts:
+    """The wrappers of a host, one for each of its layouts."""
+
+    def __init__(self, shapes: list[list]):
+        self.shapes = shapes
+        self.outlines = [grown(x).outline() for x in shapes]
+
+    def nearest(self, outline: Group) -> tuple[float, int]:
+        return max(((alike(outline, o), -i) for i, o in enumerate(self.outlines)), default=(0.0, 0))
+
+    def of(self, page: Group) -> int:
+        return -self.nearest(page.outline())[1] if len(self.shapes) > 1 else 0
+
+
+def induced(shapes: list[str]) -> list[list]:
+    """The wrappers of a host's trees, most frequent first: each tree unlike all wrappers before it is one more."""
+    found = Layouts([])
+    for text in shapes:
+        shape = json.loads(text)
+        outline = grown(shape).outline()
+        if found.nearest(outline)[0] < ALIKE:
+            found.shapes.append(shape)
+            found.outlines.append(outline)
+        if len(found.shapes) == LAYOUTS:
+            break
+    return found.shapes
+
 
 def match(a: Group, b: list) -> tuple[int, list]:
     """Simple tree matching of two trees with equal roots: size, and the pairs (group, wrapper node)."""
@@ -246,14 +302,25 @@ def number(wrapper: list, out: dict | None = None) -> dict[int, int]:
     return out
 
 
-def aligned(page: Group, wrapper: list) -> dict[int, int]:
-    """Wrapper node of each DOM node of a page, by identity of the DOM node; groups of several in negative."""
+def aligned(page: Group, layouts: Layouts) -> dict[int, tuple[int, bool]]:
+    """Slot of each DOM node of a page, by identity of the DOM node, and whether the node is alone in its run.
+
+    A slot is a node of the page's layout or, for nodes that the layout lacks, the path of labels below one.
+    """
+    which = layouts.of(page)
+    wrapper = layouts.shapes[which]
     place = number(wrapper)
-    found: dict[int, int] = {}
-    for g, w in match(page, wrapper)[1]:
-        k = place[id(w)]
+    slots = {id(g): which << 32 | place[id(w)] for g, w in match(page, wrapper)[1]}
+    found: dict[int, tuple[int, bool]] = {}
+    todo = [(page, 0)]
+    while todo:
+        g, above = todo.pop()
+        slot = slots.get(id(g))
+        if slot is None:
+            slot = -1 - (xxhash.xxh64_intdigest(f"{above}\n{g.label}") >> 1)
         for m in g.members:
-            found[id(m)] = k if len(g.members) == 1 else -k - 1
+            found[id(m)] = slot, len(g.members) == 1
+        todo += [(c, slot) for c in g.children]
     return found
 
 
@@ -266,18 +333,18 @@ def digest(text: str) -> int:
 
 
 class Wrappers:
-    """Wrappers by host, parsed once while they are in use."""
+    """Layouts by host, parsed once while they are in use."""
 
     def __init__(self, most: int = 512):
-        self.known: OrderedDict[str, list] = OrderedDict()
+        self.known: OrderedDict[str, Layouts] = OrderedDict()
         self.most = most
 
-    def get(self, text: str) -> list:
+    def get(self, text: str) -> Layouts:
         w = self.known.get(text)
         if w is None:
             if len(self.known) >= self.most:
                 self.known.popitem(last=False)
-            w = self.known[text] = json.loads(text)
+            w = self.known[text] = Layouts(json.loads(text))
         return w
 
 
@@ -319,32 +386,33 @@ def content(root: Node) -> int:
     return digest("\n".join([b[0] for b in said if b[2]] or [b[0] for b in said]))
 
 
-def observed(root: Node, wrapper: list) -> set[tuple[int, int | None]]:
-    """What a page tells of its host's template: (wrapper node, text digest), and (wrapper node, None) for the node itself."""
-    place = aligned(Group("#", [root]), wrapper)
+def observed(root: Node, layouts: Layouts) -> set[tuple[int, int | None]]:
+    """What a page tells of its host's template: (slot, text digest), and (slot, None) for the slot itself."""
+    place = aligned(Group("#", [root]), layouts)
     out: set[tuple[int, int | None]] = set()
     todo = [root]
     while todo:
         node = todo.pop()
-        k = place.get(id(node))
-        if k is not None:
-            text = own_text(node)
-            if text:
-                if k >= 0 or not within(node):
-                    out.add((k if k >= 0 else -k - 1, digest(text)))
-                out.add((k if k >= 0 else -k - 1, None))
+        text = own_text(node)
+        if text:
+            slot, single = place[id(node)]
+            if single or not within(node):
+                out.add((slot, digest(text)))
+            out.add((slot, None))
         todo += [p for p in node.parts if type(p) is Node]
     return out
 
 
-def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
+def extract(html: str, layouts: Layouts, template: set[tuple[int, int]]) -> str:
     """The content blocks of a page, joined by line breaks."""
     root = parse(html)
-    place = aligned(Group("#", [root]), wrapper) if template else {}
+    place = aligned(Group("#", [root]), layouts) if template else {}
 
     def fixed(node: Node, inside: bool) -> bool:
-        k = place.get(id(node))
-        return k is not None and (k >= 0 or not inside) and not (inside and node.tag in HEADINGS) and (k if k >= 0 else -k - 1, digest(own_text(node))) in template
+        if not template or (inside and node.tag in HEADINGS):
+            return False
+        slot, single = place[id(node)]
+        return (single or not inside) and (slot, digest(own_text(node))) in template
 
     said = blocks(root)
     main = [b for b in said if b[2]]
@@ -357,9 +425,9 @@ def extract(html: str, wrapper: list, template: set[tuple[int, int]]) -> str:
     return "\n".join(b[0] for b in kept)
 
 
-def _with_small(pages: DataFrame, small: DataFrame, hosts: int) -> DataFrame:
+def _with_small(pages: DataFrame, small: DataFrame, layouts: int) -> DataFrame:
     """Left join by host of all pages with one row per host."""
-    if hosts <= BROADCAST_HOSTS:
+    if layouts <= BROADCAST_LAYOUTS:
         return pages.join(F.broadcast(small), "host", "left")
     spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(spread, ["host", "salt"], "left").drop("salt")
@@ -378,9 +446,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             seen = [json.dumps(Group("#", [parse(t)]).shape(), separators=(",", ":")) for t in strings(b.column("html"))]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(seen, pa.string())], names=["host", "shape"])
 
-    counted = rows.select("host", "html").mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    wrappers = scratch.save(counted.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("wrapper"), F.sum("n").alias("pages")), "wrappers")
-    hosts = wrappers.count()
+    counted = scratch.save(rows.select("host", "html").mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")), "counted")
+
+    def induce(batches):
+        for b in batches:
+            found = [induced([x["shape"] for x in top]) for top in b.column("top").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(f, separators=(",", ":")) for f in found], pa.string()), pa.array([len(f) for f in found], pa.int32())], names=["host", "wrapper", "layouts"])
+
+    # the limit applies before the shuffle; trees of one frequency come in the order of a digest
+    order = Window.partitionBy("host").orderBy(F.desc("n"), F.xxhash64("shape"), "shape")
+    top = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SHAPES)
+    top = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "shape"))).alias("top"))
+    wrappers = top.mapInArrow(induce, "host string, wrapper string, layouts int").join(counted.groupBy("host").agg(F.sum("n").alias("pages")), "host")
+    wrappers = scratch.save(wrappers, "wrappers")
+    layouts = wrappers.agg(F.coalesce(F.sum("layouts"), F.lit(0))).first()[0]
 
     def observe(batches):
         known = Wrappers()
@@ -390,10 +469,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 root = parse(t)
                 said = content(root)
                 out += [(h, k, d, said) for k, d in sorted(observed(root, known.get(w)), key=str)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "digest", "said"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "digest", "said"])
 
     # a host needs LEAST_PAGES pages before anything on it can be a template
-    told = _with_small(rows.select("host", "page_id", "html"), wrappers, hosts).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node int, digest long, said long")
+    told = _with_small(rows.select("host", "page_id", "html"), wrappers, layouts).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node long, digest long, said long")
     sums = told.groupBy("host", "node", "digest").agg(F.count_distinct("said").alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("digest").isNull())
     sums = scratch.save(sums, "sums")
     whole = sums.where("digest IS NULL").select("host", "node", F.col("n").alias("all"))
@@ -409,7 +488,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [extract(t, known.get(w), {(x["node"], x["digest"]) for x in f or ()}) for t, w, f in zip(strings(part.column("html")), part.column("wrapper").to_pylist(), part.column("fixed").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return _with_small(rows, small, hosts).select("page_id", "url", "html", "wrapper", "fixed").mapInArrow(take, "page_id long, url string, text string, n_chars long")
+    return _with_small(rows, small, layouts).select("page_id", "url", "html", "wrapper", "fixed").mapInArrow(take, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:
