@@ -219,6 +219,13 @@ def test_layouts_of_a_host(spark):
     assert len(html_extract.induced([json.dumps(tree(p).shape()) for _, p in pages])) == 2
 
 
+def test_links_in_the_content(spark):
+    link = "<a href=x>\n      a source of some length  </a>"
+    assert alone(f"<p>See {link}</p><ul><li>{link}<li>{link}</ul>") == "See a source of some length" + "\na source of some length" * 2
+    page = "<body><ul><li><a>Home</a><li><a>About</a><li><a>Now {0}</a></ul><p>own {0}</p><p><a>read {0}</a></p><ol><li><a>ref {0}</a><li><a>ref too {0}</a></ol>"
+    assert texts(spark, [("a", page.format(i)) for i in range(4)]) == [f"own {i}\nread {i}\nref {i}\nref too {i}" for i in range(4)]
+
+
 def test_tree_matching():
     tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
     a, b = tree("<div><p>x</p><ul><li>1<li>2</ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>3</ul></div><footer>f</footer>")

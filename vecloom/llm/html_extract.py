@@ -12,7 +12,8 @@ template only beside text that varies, and every page that has the node counts,
 An article of which only headings would be left is returned whole. Slots that pages vary but that are not
 the article go by their element, class, id or role (menus, headers, footers, asides, forms, adverts,
 notices, reader comments; whole class names, never those of html, body, main, article or a node around the
-main article, see ``marked`` and ``spare``) or, outside an article element, by being mostly links. Groups of siblings inside
+main article, see ``marked`` and ``spare``) or, outside an article element, by
+being mostly links in a slot that is a run of such siblings on most pages of the host, some the same on most. Groups of siblings inside
 the article vary in number and text by nature and always are content.
 
 Statistics of templates are counts over all distinct contents of a host; a host with a third of all pages is
@@ -332,6 +333,14 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+#: In the place of a text's digest: the slot is a run of siblings that are mostly links.
+LINKS = digest("\0links")
+
+
+def mostly_links(node: Node, text: str) -> bool:
+    return len(tidy([p[0] if type(p) is tuple and p[1] else " " for p in node.parts])) * 2 > len(text)
+
+
 class Wrappers:
     """Layouts by host, parsed once while they are in use."""
 
@@ -357,20 +366,20 @@ def blocks(root: Node) -> list[tuple[str, int, bool, Node]]:
             return
         inside = inside or is_article(node)
         pieces: list[str] = []
-        linked = 0
+        linked: list[str] = []
 
         def flush():
-            nonlocal linked
             text = tidy(pieces)
             if text:
-                out.append((text, linked, inside, node))
+                out.append((text, len(tidy(linked)), inside, node))
             pieces.clear()
-            linked = 0
+            linked.clear()
 
         for p in node.parts:
             if type(p) is tuple:
                 pieces.append(p[0])
-                linked += len(p[0]) if p[1] else 0
+                if p[1]:
+                    linked.append(p[0])
             else:
                 flush()
                 walk(p, inside)
@@ -390,6 +399,7 @@ def observed(root: Node, layouts: Layouts) -> set[tuple[int, int | None]]:
     """What a page tells of its host's template: (slot, text digest), and (slot, None) for the slot itself."""
     place = aligned(Group("#", [root]), layouts)
     out: set[tuple[int, int | None]] = set()
+    runs: dict[int, list[bool]] = {}
     todo = [root]
     while todo:
         node = todo.pop()
@@ -399,8 +409,10 @@ def observed(root: Node, layouts: Layouts) -> set[tuple[int, int | None]]:
             if single or not within(node):
                 out.add((slot, digest(text)))
             out.add((slot, None))
+            if not single and not within(node):
+                runs.setdefault(slot, []).append(mostly_links(node, text))
         todo += [p for p in node.parts if type(p) is Node]
-    return out
+    return out | {(slot, LINKS) for slot, links in runs.items() if len(links) > 1 and all(links)}
 
 
 def extract(html: str, layouts: Layouts, template: set[tuple[int, int]]) -> str:
@@ -421,7 +433,8 @@ def extract(html: str, layouts: Layouts, template: set[tuple[int, int]]) -> str:
         if all(b[3].tag in HEADINGS for b in kept):
             kept = main
     else:
-        kept = [b for b in said if not fixed(b[3], False) and b[1] * 2 <= len(b[0])]
+        menus = {slot for slot, d in template if d == LINKS} & {slot for slot, d in template if d != LINKS}
+        kept = [b for b in said if not fixed(b[3], False) and not (b[1] * 2 > len(b[0]) and menus and place[id(b[3])][0] in menus)]
     return "\n".join(b[0] for b in kept)
 
 
