@@ -226,6 +226,18 @@ def test_links_in_the_content(spark):
     assert texts(spark, [("a", page.format(i)) for i in range(4)]) == [f"own {i}\nread {i}\nref {i}\nref too {i}" for i in range(4)]
 
 
+@pytest.mark.parametrize("tags", [["div"], ["blockquote", "ul", "li"], ["div", "p"]])
+def test_deep_pages(spark, tags):
+    names = [tags[i % len(tags)] for i in range(5000)]
+    page = "<article><h1>T</h1>" + "".join(f"<{t}>a{i}" for i, t in enumerate(names))
+    closed = page + "<p class=ad>y</p>" + "".join(f"</{t}>z{i}" for i, t in reversed(list(enumerate(names)))) + "</article><footer>f</footer>"
+    got = texts(spark, [("a", page)] * 3 + [("a", closed), ("a", "<article><h1>T</h1><p>short</p></article>")])
+    opened = ["T", *(f"a{i}" for i in range(5000))]
+    assert got[0] == got[2] == "\n".join(opened) and got[4] == "T\nshort"
+    if tags == ["div"]:
+        assert got[3] == "\n".join(opened + [f"z{i}" for i in range(4999, -1, -1)])
+
+
 def test_tree_matching():
     tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
     a, b = tree("<div><p>x</p><ul><li>1<li>2</ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>3</ul></div><footer>f</footer>")

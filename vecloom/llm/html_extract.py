@@ -25,7 +25,7 @@ and joined in page order by a line break; a ``br`` is white space.
 
 Edge cases: null or empty html, or a page without content, gives the empty text; a null or odd url belongs
 to the host ''; broken nesting is repaired the usual way (a block start ends an open paragraph; end tags
-without a start are ignored); an unclosed comment or script runs to the end; repeated rows are returned
+without a start are ignored); levels beyond the 100th stand side by side, in page order; an unclosed comment or script runs to the end; repeated rows are returned
 each; an empty table gives an empty result; other columns are ignored here.
 """
 
@@ -62,6 +62,8 @@ OTHERS = re.compile(r"comments?|replies|respond|disqus|discussion|related|recomm
 ARTICLE = re.compile(r"(?:article|main)(?:$|[.@])|.*@main$", re.S)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAST_PAGES, SHARE = 3, 0.6
+#: Deeper levels of a page stand side by side.
+DEEP = 100
 #: Trees of a host that are looked at for layouts, the most layouts of a host, and the likeness that makes one layout of two trees.
 SHAPES, LAYOUTS, ALIKE = 64, 8, 0.6
 BROADCAST_LAYOUTS = 20_000
@@ -69,12 +71,32 @@ SALT = 32
 
 
 class Node:
-    __slots__ = ("tag", "label", "parts", "parent", "off", "mark")
+    __slots__ = ("tag", "label", "parts", "parent", "off", "mark", "inside", "level", "home", "tail")
 
     def __init__(self, tag: str, label: str, parent, off: bool):
         self.tag, self.label, self.parent, self.off, self.mark = tag, label, parent, off, ""
+        self.inside = is_article(self) or (parent is not None and parent.inside)
+        self.level, self.home, self.tail = 0, None, self  # home: the node that holds this one and all deeper ones; tail: takes the text
         self.parts: list = []  # child nodes, and (text, is_link) in between
 
+    def say(self, text: str, link: bool) -> None:
+        if self.home is not None and self.home.parts[-1] is not self.tail:
+            self.tail = Node(self.tag, "~", self, False)
+            self.home.parts.append(self.tail)
+        self.tail.parts.append((text, link))
+
+    def add(self, node: Node) -> None:
+        """Take a child; levels beyond DEEP stand side by side, in page order."""
+        if self.level < DEEP:
+            self.parts.append(node)
+            node.level = self.level + 1
+            node.home = self if node.level == DEEP else None
+        else:
+            self.home.parts.append(node)
+            node.level, node.home = DEEP, self.home
+        if node.level == DEEP:
+            node.label = "~"
+
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave only their text."""
@@ -85,10 +107,10 @@ def parse(html: str) -> Node:
     while pos < n:
         m = TOKEN.search(html, pos)
         if m is None:
-            at.parts.append((html[pos:], links > 0))
+            at.say(html[pos:], links > 0)
             break
         if m.start() > pos:
-            at.parts.append((html[pos : m.start()], links > 0))
+            at.say(html[pos : m.start()], links > 0)
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -111,7 +133,7 @@ def parse(html: str) -> Node:
             pos = html.find(">", end.start()) + 1 or n
             continue
         if tag == "br":
-            at.parts.append((" ", False))
+            at.say(" ", False)
         if tag == "a":
             links += 1
         if tag not in BLOCK:
@@ -129,14 +151,14 @@ def parse(html: str) -> Node:
                 role = value.strip().lower()
             else:
                 mark += f" {value}"
-        off = tag in NEVER or role in ROLES or (tag == "header" and not within(at))
+        off = tag in NEVER or role in ROLES or (tag == "header" and not at.inside)
         node = Node(tag, f"{tag}{'.' + ' '.join(sorted(mark.split())) if mark else ''}{'@' + role if role else ''}", at, off)
         if mark and tag not in ("html", "body") and not is_article(node):
             node.mark = marked(mark, at)
             signs = signs or bool(node.mark)
-        at.parts.append(node)
         if is_article(node):
             articles.append(node)
+        at.add(node)
         if tag not in VOID and not m[3].endswith("/"):
             at = node
     if signs:
@@ -146,7 +168,7 @@ def parse(html: str) -> Node:
         node = todo.pop()
         for c in node.parts:
             if type(c) is Node:
-                c.off = node.off or c.off or bool(c.mark)
+                c.off = c.parent.off or c.off or bool(c.mark)
                 todo.append(c)
     return root
 
@@ -161,7 +183,7 @@ def marked(names: str, at: Node) -> str:
     for name in names.split():
         parts = [p for p in re.split(r"[_-]+", name) if p]
         if any(MARKS.fullmatch(p) for p in parts) and all(p.lower() in PLACES or MARKS.fullmatch(p) for p in parts):
-            if name.lower() != "header" or not within(at):
+            if name.lower() != "header" or not at.inside:
                 found.append(name)
     return " ".join(found)
 
@@ -188,15 +210,6 @@ def spare(articles: list[Node]) -> None:
                     m.mark = ""
 
 
-def within(node: Node | None) -> bool:
-    """Is this node an article or main element, or inside one?"""
-    while node is not None:
-        if is_article(node):
-            return True
-        node = node.parent
-    return False
-
-
 def tidy(pieces: list[str]) -> str:
     return " ".join(entities.unescape("".join(pieces)).split())
 
@@ -361,17 +374,16 @@ def blocks(root: Node) -> list[tuple[str, int, bool, Node]]:
     """The blocks of text of a page in order, without nodes that are off: text, characters in links, inside the article, node."""
     out: list[tuple[str, int, bool, Node]] = []
 
-    def walk(node: Node, inside: bool) -> None:
+    def walk(node: Node) -> None:
         if node.off:
             return
-        inside = inside or is_article(node)
         pieces: list[str] = []
         linked: list[str] = []
 
         def flush():
             text = tidy(pieces)
             if text:
-                out.append((text, len(tidy(linked)), inside, node))
+                out.append((text, len(tidy(linked)), node.inside, node))
             pieces.clear()
             linked.clear()
 
@@ -382,10 +394,10 @@ def blocks(root: Node) -> list[tuple[str, int, bool, Node]]:
                     linked.append(p[0])
             else:
                 flush()
-                walk(p, inside)
+                walk(p)
         flush()
 
-    walk(root, False)
+    walk(root)
     return out
 
 
@@ -406,10 +418,10 @@ def observed(root: Node, layouts: Layouts) -> set[tuple[int, int | None]]:
         text = own_text(node)
         if text:
             slot, single = place[id(node)]
-            if single or not within(node):
+            if single or not node.inside:
                 out.add((slot, digest(text)))
             out.add((slot, None))
-            if not single and not within(node):
+            if not single and not node.inside:
                 runs.setdefault(slot, []).append(mostly_links(node, text))
         todo += [p for p in node.parts if type(p) is Node]
     return out | {(slot, LINKS) for slot, links in runs.items() if len(links) > 1 and all(links)}
