@@ -127,3 +127,13 @@ def test_every_query_has_stable_columns(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["rank", "id", "score"]
+
+
+def test_token_match_sees_damage(spark, monkeypatch):
+    from vecloom.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    assert {r["same"] for r in catalogue.token_exact_match(spark, d).collect()} == {True}
+    whole = tokenizer.encode_words
+    monkeypatch.setattr(tokenizer, "encode_words", lambda w, ranks: F.slice(whole(w, ranks), 2, 1_000_000))
+    assert {r["same"] for r in catalogue.token_exact_match(spark, d).collect()} == {False}

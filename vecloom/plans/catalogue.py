@@ -509,7 +509,10 @@ def bpe_encode(spark, d):
 @query(f"SELECT item_id AS id, {CLEAN} = {CLEAN} AS same FROM benchmark")
 def token_exact_match(spark, d):
     w = text.split_words(text.basic_clean(F.col("text")))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), (tokenizer.encode_words(w, {}) == tokenizer.encode_words(w, {})).alias("same"))
+    letters = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, i, F.lit(1)), F.when(i == F.length(x), text.WORD_END).otherwise("")))
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), tokenizer.encode_words(w, {}).alias("actual"), F.flatten(F.transform(w, letters)).alias("expected"))
+    ids = tokenizer.lookup_ids(F.col("actual"), SMALL) == tokenizer.token_ids(F.col("expected"), SMALL)
+    return t.select("id", ((F.col("actual") == F.col("expected")) & ids).alias("same"))
 
 
 # contracts
