@@ -34,7 +34,7 @@ def test_word_level_matches_the_library(spark):
 
 
 def test_automaton_on_random_words():
-    coder = bpe_automaton.coder(vocabulary.read(public_tokenizers.path("word_bpe_49k.json")))
+    coder = bpe_automaton.WordCoder(vocabulary.read(public_tokenizers.path("word_bpe_49k.json")))
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(3)
     for _ in range(400):
