@@ -3,8 +3,8 @@
 Each language has a profile: its most frequent letter n-grams (1 to 3 code points, with a mark at word
 borders) in order of frequency. A document's own most frequent n-grams are compared with each profile:
 the distance is the sum of how far out of place each n-gram stands, and a fixed most for n-grams that
-the profile lacks. The nearest profile wins. N-grams that no profile has would add the same to every
-distance, so they are left out when a document is ranked.
+the profile lacks. The nearest profile wins. All n-grams of a document are counted and ranked, also those
+that no profile has: they take places and add the most to every distance.
 
 Profiles are fitted on at most about ``sample_per_lang`` documents of a language (those with the
 smallest digests of their id), a stated bound; every document is predicted from its whole text.
@@ -111,22 +111,28 @@ class Model:
         if not v or not texts:
             return names, scores
         cp, row = letters(texts)
-        counts = np.zeros(len(texts) * v, np.int64)
-        for code, of in gram_codes(cp, row):
-            at = np.searchsorted(self.vocab, code)
-            at[at == v] = 0
-            hit = self.vocab[at] == code
-            counts += np.bincount(of[hit] * v + at[hit], minlength=len(counts))
-        counts = counts.reshape(len(texts), v)
         has = np.bincount(row[cp > 0], minlength=len(texts)) > 0
-        n = min(self.most, v)
-        order = np.argsort(-counts, axis=1, kind="stable")[:, :n]
-        used = np.take_along_axis(counts, order, 1) > 0
+        codes = gram_codes(cp, row)
+        code, of = np.concatenate([c for c, _ in codes]), np.concatenate([r for _, r in codes])
+        names_of = np.unique(code)
+        pair = np.sort(of * len(names_of) + np.searchsorted(names_of, code))
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        count = np.diff(np.append(first, len(pair)))
+        of, gram = np.divmod(pair[first], max(1, len(names_of)))
+        order = np.lexsort((gram, -count, of))
+        of, gram = of[order], names_of[gram[order]]
+        begin = np.searchsorted(of, np.arange(len(texts)))
+        place = np.arange(len(of)) - begin[of]
+        top = place < self.most
+        of, gram, place = of[top], gram[top], place[top]
+        at = np.minimum(np.searchsorted(self.vocab, gram), v - 1)
+        at[self.vocab[at] != gram] = v  # in no profile
+        used = np.maximum(np.bincount(of, minlength=len(texts)), 1) * self.most
         away = np.empty((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
-            gap = np.minimum(np.abs(self.rank[k][order] - np.arange(n)), self.most)
-            gap[self.rank[k][order] >= self.most] = self.most
-            away[:, k] = (gap * used).sum(1) / np.maximum(used.sum(1) * self.most, 1)
+            rank = self.rank[k][at]
+            gap = np.where(rank < self.most, np.minimum(np.abs(rank - place), self.most), self.most)
+            away[:, k] = np.bincount(of, gap, len(texts)) / used
         best = away.argmin(1)
         weight = np.exp(-25 * (away - away.min(1, keepdims=True)))
         share = 1 / weight.sum(1)

@@ -9,7 +9,8 @@ the nearest ones vote with their similarity as weight.
 The model is fitted on at most ``sample_per_class`` labelled documents of each label (those with the
 smallest digests of their id); so what is collected and broadcast has a fixed bound (about 1.5 MB).
 
-Edge cases: a null or empty text has no vector and gets the labels' mean; if only one label occurs,
+Edge cases: a text without a vote (null, empty, or without a trigram and a word, so that its vector is zero;
+or like no labelled one) gets the labels' mean; of rows that repeat an id only the least text teaches; if only one label occurs,
 all scores are that label; without any label they are 0.5. Repeated rows score alike. Labels that are
 null or neither 0 nor 1 teach nothing.
 """
@@ -95,8 +96,9 @@ class Model:
         k = min(k, len(self.y))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4
-        vote = (weight * self.y[near]).sum(1) / np.maximum(weight.sum(1), 1e-12)
-        return np.where([len(t) > 0 for t in texts], np.clip(vote, 0, 1), self.prior)
+        total = weight.sum(1)
+        vote = (weight * self.y[near]).sum(1) / np.where(total > 0, total, 1)
+        return np.where(total > 0, np.clip(vote, 0, 1), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -114,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
                 x = features([t.encode() for t in strings(part.column("text"))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    taught = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = taught.mapInArrow(run, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r["quality"], r["doc_id"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, TRIGRAMS + SHAPES), np.float32)
     return Model(x, np.array([r["quality"] for r in rows])) if rows else _no_model()

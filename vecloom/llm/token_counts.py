@@ -43,7 +43,7 @@ class Counter:
         if n is None:
             if len(self.known) >= MOST_CACHED:
                 self.known.clear()
-            n = self.known[piece] = len(self.coder.coder.encode_ordinary(piece))
+            n = self.known[piece] = len(self.coder.plain(piece))
         return n
 
     def special(self, text: str) -> bool:

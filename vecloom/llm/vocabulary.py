@@ -6,6 +6,8 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import regex
+
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 #: The pattern that splits text before the byte-level merges.
@@ -45,11 +47,27 @@ def byte_level(data: bytes):
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
+#: A run of white space this long is left to the vocabulary's own library: the merge-rank encoder's pattern recurs on it.
+LONG_RUN = 100_000
+BLANKS = regex.compile(r"\s++")
+
+
 class ByteLevel:
     """Token ids of whole texts; a special token written in a text is that token, as the vocabulary's own library has it."""
 
     def __init__(self, data: bytes):
         self.coder, self.special = byte_level(data)
+        self.data, self.library = data, None
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in BLANKS.finditer(text)):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_str(self.data.decode())
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.coder.encode_ordinary(text)
 
     def ids(self, text: str) -> list[int]:
         for token, i in self.special.items():
@@ -58,4 +76,4 @@ class ByteLevel:
                 for k, part in enumerate(text.split(token)):
                     out += ([i] if k else []) + self.ids(part)
                 return out
-        return self.coder.encode_ordinary(text)
+        return self.plain(text)
