@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import exact_dedup, suffix_dedup
+from vecloom.types import EngineError
 
 DOCS = "doc_id long, text string, lang string, keep_id string"
 
@@ -70,8 +73,11 @@ def brute_spans(rows, length=50):
     return {i: sorted(v) for i, v in out.items()}
 
 
-def test_spans_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("hot", "bucket"), [(4096, 2 << 20), (1, 500), (2, 2 << 20)])
+def test_spans_against_brute_force(spark, monkeypatch, hot, bucket):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(1, 9)))
     passages = ["".join(word() for _ in range(30)) for _ in range(6)]
@@ -104,3 +110,48 @@ def test_long_text(spark):
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removed_spans(df).collect()}
     assert got == {1: 0, 2: 480000}
     assert exact_dedup.exact_groups(df).where(F.col("kept")).count() == 2
+
+
+def test_ids_must_be_numbers(spark):
+    df = spark.createDataFrame([("a", "x" * 60)], "doc_id string, text string")
+    with pytest.raises(EngineError, match="unsupportedID"):
+        suffix_dedup.removed_spans(df)
+
+
+@pytest.mark.parametrize("letters", ["ab", "a", "abcdefgh"])
+def test_bucket_pointers(letters):
+    """Pointers at depth 50 are equal for equal strings only; runs end where their text does."""
+    rng = random.Random(len(letters))
+    base = ["".join(rng.choice(letters) for _ in range(120)) for _ in range(3)]
+    runs = []
+    for _ in range(60):
+        a = rng.randint(0, 60)
+        run = rng.choice(base)[a : a + rng.randint(1, 81)]
+        runs.append(run if rng.random() < 0.5 else run[:30] + rng.choice(letters) + run[31:])
+    buf = np.frombuffer("".join(runs).encode(), np.uint8)
+    left = np.concatenate([np.arange(len(r), 0, -1) for r in runs])
+    pointer = suffix_dedup.classes(buf, left)
+    text, of = "".join(runs), {}
+    for p in np.flatnonzero(left >= 50):
+        of.setdefault(text[p : p + 50], set()).add(int(pointer[p]))
+    assert all(len(v) == 1 for v in of.values())
+    assert len({next(iter(v)) for v in of.values()}) == len(of)
+    assert len(suffix_dedup.classes(np.zeros(0, np.uint8), np.zeros(0, int))) == 0
+
+
+def test_equal_digests_are_compared_by_bytes(monkeypatch):
+    """With a digest that says nothing, runs of other bytes still are other records."""
+    texts = [bytes(random.Random(k).choices(b"abc", k=70)) for k in (1, 2, 1)]
+    block = suffix_dedup.Block(texts, np.array([5, 6, 7]), True)
+    shared = np.unique(block.key)
+    runs, record, source, least = block.records(shared)
+    whole = [block.buf[block.start[r] : block.start[r] + block.size[r] + 49].tobytes() for r in runs]
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * np.uint64(0))
+    _, blind, source2, least2 = block.records(shared)
+    for rec, src, low in ((record, source, least), (blind, source2, least2)):
+        for k, w in zip(rec, whole):
+            s = src[k]
+            assert block.buf[block.start[s] : block.start[s] + block.size[s] + 49].tobytes() == w
+        for k in range(len(src)):
+            assert low[k] == block.doc[runs[rec == k]].min()
+    assert len(source) == len(set(whole)) <= len(source2)

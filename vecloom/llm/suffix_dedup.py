@@ -1,26 +1,31 @@
 """Removal of byte strings that repeat across documents, by bucket-pointer refinement.
 
 A byte goes if a string of ``length`` (50) bytes that covers it also starts in a document with a smaller
-doc_id. Suffixes are kept in buckets whose identifiers double in depth: the bucket of a suffix at depth
-2q is made of its own bucket at depth q and that of the suffix q places on (1, 2, 4, 8, 16, 24, 25, and
-50 from two of 25). Three things let this run on many machines:
-
-* An identifier is computed from the bytes (64 bits), so buckets of all documents agree without talk.
-* At depth 25 only one suffix of each 26 neighbours is entered: the one with the least identifier. Every
-  string of 50 bytes holds the same one wherever it stands, so none is missed. Runs of suffixes with the
-  same least one share an entry.
-* Buckets that only one document enters are final. Only entries of the other buckets are refined, by
-  sorting on the identifiers of later offsets to depth 50; the smallest doc_id of each refined bucket
-  says what goes.
-
-Documents are packed into blocks of whole texts. A block sends each entry's identifier once, and each
-distinct context of an entry once with its smallest doc_id, however many copies it holds; the replies are
-bitmaps. So a passage that a third of all documents share costs one record for each block.
-
-Edge cases: a null text is empty; matches never cross documents; rows with the same doc_id never remove
-each other's bytes; a null doc_id counts as larger than all; texts under 50 bytes stay whole; an empty
-table gives an empty result. Identifiers of 64 bits, compared within one partition's bucket, take two
-different strings for equal with a chance of about 1e-6 at 1 TB.
+doc_id. Suffixes are put into buckets by their first q bytes, and buckets are refined by sorting on the
+bucket pointers of the suffixes some places on, until strings in one bucket agree in 50 bytes:
+
+* Initial buckets, q = 25. Their identifiers are 64-bit digests, so that blocks of whole texts agree on them
+  without talk. Of each 26 neighbouring suffixes one is entered, the one with the least identifier: every
+  string of 50 bytes holds the same one wherever it stands, so none is missed; a run of strings that hold the
+  same one shares an entry. A bucket that one document alone enters is final.
+* Refinement. For entries of other buckets the block sends the run's bytes, each distinct run once with its
+  smallest doc_id. Runs of equal bytes are one; in buckets where runs differ, suffixes get pointers: where their
+  8-gram bucket begins in the sorted order, then, depth 16, 32 and 50, where their part of that bucket begins
+  once it is sorted on the pointers 8, 16 and 18 places on. A pointer that was refined is what the next depth
+  reads; buckets of one suffix are final and are sorted no more. (Pointers of one depth are refined together,
+  level by level, since one that is refined beyond 50 bytes would part equal strings.) In the end equal
+  pointers mean equal bytes: digests choose candidates, bytes decide.
+* The smallest doc_id of each last bucket says which strings go; the reply is a bit for each string of a run.
+
+Everything travels as plain rows: one of 17 bytes for each entry (about one for 13 bytes of text), one for
+each distinct run of a shared bucket in a block, one for each of those that loses a string. Their number grows
+with the input, and a passage that a third of all documents share is one row for each block of 2 MB. Keys that
+more than ``HOT`` blocks enter are dealt to several tasks: the distinct runs of such a key with their smallest
+doc_id, summed before the shuffle, are sent to each of them.
+
+Edge cases: a null text is empty; matches never cross documents; rows with the same doc_id never remove each
+other's bytes; a null doc_id counts as larger than all; ids must be whole numbers (``unsupportedID`` otherwise);
+texts under 50 bytes stay whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +37,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vecloom.llm.textkit import BASE, BYTE, U, mix, release
 from vecloom.runtime import Scratch, ship, shuffle_partitions, table
+from vecloom.types import EngineError
 
 LENGTH = 50
 HALF = LENGTH // 2
 SPREAD = LENGTH - HALF + 1
 RUN = 32
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
+#: Text whose entries make one group of buckets, which is refined at a time.
+BUCKET_BYTES = 2 << 20
+HOT = 4096
 CHUNK = 1 << 18
 LAST = np.iinfo(np.int64).max
 
@@ -63,11 +72,6 @@ def identifiers(buf: np.ndarray) -> np.ndarray:
     return h24[:-1] * power(1) + h1[24:]
 
 
-def refined(h25: np.ndarray) -> np.ndarray:
-    """Depth 50: a suffix's bucket and that of the suffix 25 places on."""
-    return mix(h25[:-HALF] * power(HALF) + h25[HALF:])
-
-
 def least_of_neighbours(h: np.ndarray) -> np.ndarray:
     """The least of each 26 neighbours."""
     m = h
@@ -79,22 +83,22 @@ def least_of_neighbours(h: np.ndarray) -> np.ndarray:
 class Block:
     """Whole texts one after another, and the runs of their 50-byte strings that share an entry."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, deep: bool):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, contexts: bool):
         self.ids = ids
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         self.offset = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=self.offset[1:])
         n = max(0, len(self.buf) - LENGTH + 1)
-        least, deepest = np.zeros(n, U), np.zeros(n if deep else 0, U)
+        least = np.zeros(n, U)
+        self.half = np.zeros(n + HALF if contexts and n else 0, U)
         for a in range(0, n, CHUNK):
             z = min(n, a + CHUNK)
             h = identifiers(self.buf[a : z + LENGTH - 1])
-            if deep:
-                deepest[a:z] = refined(h)
+            if contexts:
+                self.half[a : z + HALF] = h
             h ^= h >> U(32)
             h *= U(0xD6E8FEB86659FD93)
             least[a:z] = least_of_neighbours(h)
-        self.deep = deepest
         valid = np.zeros(n + 1, np.int8)
         size = np.diff(self.offset)
         long_enough = size >= LENGTH
@@ -135,21 +139,39 @@ class Block:
             return key, new, place
         return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), place
 
-    def records(self, chosen: np.ndarray, place: np.ndarray):
-        """Of the runs in chosen entries: the runs, each run's record, and each record's run and smallest doc_id, by entry."""
-        runs = np.flatnonzero(chosen[place])
+    def records(self, shared: np.ndarray):
+        """Of the runs in shared entries (their identifiers, in order): the runs, each run's record, and each record's
+        run and smallest doc_id. Runs of equal bytes are one record."""
+        at = np.minimum(np.searchsorted(shared, self.key), max(len(shared) - 1, 0))
+        runs = np.flatnonzero(shared[at] == self.key) if len(shared) else np.zeros(0, np.int64)
         if not len(runs):
             return runs, runs, runs, runs
-        a, z, size = self.deep[self.start[runs]], self.deep[self.start[runs] + self.size[runs] - 1], self.size[runs]
-        context = mix(a ^ mix(z + size.astype(U)))
-        order = np.lexsort((context, place[runs]))
-        p, c = place[runs][order], context[order]
-        new = np.ones(len(runs), bool)
-        new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-        first = np.flatnonzero(new)
+        start, size = self.start[runs], self.size[runs]
+        end = start + size + LENGTH - 1
+        digest = mix(size.astype(U))
+        for place in (start, start + HALF, end - LENGTH, end - HALF):
+            digest = mix(digest ^ self.half[place])
+        order = np.argsort(digest, kind="stable")
+        new = np.append(True, digest[order][1:] != digest[order][:-1])
+        first = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(order))))
         record = np.empty(len(runs), np.int64)
         record[order] = np.cumsum(new) - 1
-        return runs, record, runs[order[first]], np.minimum.reduceat(self.doc[runs][order], first)
+        again = np.flatnonzero(~new)
+        k = np.arange(LENGTH - 1 + RUN)
+        odd = [np.zeros(0, np.int64)]
+        for a in range(0, len(again), 1 << 16):  # equal digests: compare the bytes
+            one, two = order[again[a : a + (1 << 16)]], order[first[again[a : a + (1 << 16)]]]
+            last = len(self.buf) - 1
+            same = self.buf[np.minimum(start[one][:, None] + k, last)] == self.buf[np.minimum(start[two][:, None] + k, last)]
+            same |= k >= (size[one] + LENGTH - 1)[:, None]
+            odd.append(one[~same.all(1) | (size[one] != size[two])])
+        odd = np.concatenate(odd)
+        record[odd] = int(new.sum()) + np.arange(len(odd))
+        source = np.empty(int(new.sum()) + len(odd), np.int64)
+        source[record[::-1]] = runs[::-1]
+        least = np.full(len(source), LAST)
+        np.minimum.at(least, record, self.doc[runs])
+        return runs, record, source, least
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -158,37 +180,45 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
-def bucket_edges(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's identifiers begin and end: buckets are equal ranges of identifiers."""
-    cuts = np.array([(k << 64) // buckets for k in range(buckets)], U)
-    return np.append(np.searchsorted(key, cuts), len(key))
-
-
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; ``expand`` gives them back."""
-    sink = pa.BufferOutputStream()
-    fields = [pa.array([a.tobytes()], pa.large_binary()) for a in arrays]
-    names = [a.dtype.str for a in arrays]
-    b = pa.RecordBatch.from_arrays(fields, names=[f"{k}{n}" for k, n in enumerate(names)])
-    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def expand(data: bytes) -> list[np.ndarray]:
-    b = pa.ipc.open_stream(data).read_next_batch()
-    return [np.frombuffer(c[0].as_buffer(), n.lstrip("0123456789")) for c, n in zip(b.columns, b.schema.names)]
-
-
-def to_gaps(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Sorted identifiers, cut to their leading bits, as differences."""
-    k = key >> U(64 - bits)
-    gaps = np.diff(k, prepend=U(0))
-    return [gaps[:1], gaps[1:].astype(np.uint32) if len(gaps) < 2 or gaps[1:].max() < 1 << 32 else gaps[1:]]
-
-
-def from_gaps(first: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.concatenate([first, gaps.astype(U)]), dtype=U)
+def bucket_cuts(buckets: int) -> np.ndarray:
+    """Buckets are dealt out in equal ranges of identifiers."""
+    return np.array([(k << 64) // buckets for k in range(buckets)], U)
+
+
+def classes(buf: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Bucket pointers at depth 50 of all suffixes with 50 bytes left in their run (others: any number).
+
+    A pointer is where a suffix's bucket begins in the sorted order of all suffixes.
+    """
+    n = len(buf)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(U)
+    gram = np.zeros(n, U)
+    for k in range(8):
+        gram = gram << U(8) | padded[k : k + n]
+    pointer = np.zeros(n, np.int64)
+    members = np.flatnonzero(left >= 8)
+    order = members[np.argsort(gram[members])]
+    head = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(order)])
+    size = np.diff(np.append(head, len(order)))
+    pointer[order] = np.repeat(head, size)
+    alone = np.ones(n, bool)
+    alone[order] = np.repeat(size, size) == 1
+    for depth, on in ((16, 8), (32, 16), (LENGTH, LENGTH - 32)):
+        members = np.flatnonzero((left >= depth) & ~alone)
+        if not len(members):
+            break
+        # sort each bucket on the pointers ``on`` places on; its parts begin where the bucket did, plus what is before them
+        key = pointer[members] * n + pointer[members + on]
+        turn = np.argsort(key)
+        order, key = members[turn], key[turn]
+        old = pointer[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(order)))
+        begin = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        inside = head - np.repeat(begin, np.diff(np.append(begin, len(order))))[head]
+        pointer[order] = np.repeat(old[head] + inside, size)
+        alone[order] = np.repeat(size, size) == 1
+    return pointer
 
 
 def pack_blocks(docs: DataFrame, text_col: str) -> DataFrame:
@@ -225,64 +255,74 @@ def pack_blocks(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, "block long, n_bytes long, payload binary")
 
 
-def open_block(payload: bytes, id_col: str, text_col: str, deep: bool) -> tuple[pa.Table, list[bytes], Block]:
+def open_block(payload: bytes, id_col: str, text_col: str, contexts: bool) -> tuple[pa.Table, list[bytes], Block]:
     t = pa.ipc.open_stream(payload).read_all()
     texts = [x or b"" for x in t.column(text_col).cast(pa.binary()).to_pylist()]
     ids = pc.fill_null(t.column(id_col).cast(pa.int64()), LAST).to_numpy(zero_copy_only=False)
-    return t, texts, Block(texts, ids, deep)
+    return t, texts, Block(texts, ids, contexts)
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
-    """The rows of a batch, one at a time."""
+    """The rows of a batch, one at a time; lists as arrays."""
     for k in range(b.num_rows):
-        yield b.slice(k, 1).to_pylist()[0]
+        yield {n: (c[k].as_py() if not pa.types.is_list(c.type) else c[k].values) for n, c in zip(b.schema.names, b.columns)}
         release()
 
 
-def gather_bits(rows: list[dict], counts: np.ndarray) -> np.ndarray:
-    """The replies of all buckets as one array of booleans, ``counts`` of them from each bucket."""
-    by = {r["bucket"]: r["bits"] for r in rows or ()}
-    parts = [np.unpackbits(np.frombuffer(by[k], np.uint8), count=int(n)) if k in by else np.zeros(n, np.uint8) for k, n in enumerate(counts)]
-    return np.concatenate(parts).astype(bool)
+def numbers(values, kind=np.int64) -> np.ndarray:
+    """A list of a row (null: none) as an array."""
+    return np.zeros(0, kind) if values is None else values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
-REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
-
-
-def shared_entries(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """For one bucket: which of each block's entries another document enters too."""
-    rows = [(r["block"], expand(r["data"])) for r in t.select(["block", "data"]).to_pylist()]
-    keys = [from_gaps(x[0], x[1]) for _, x in rows]
-    many = [np.unpackbits(x[2], count=len(k)).astype(bool) for (_, x), k in zip(rows, keys)]
-    every = np.sort(np.concatenate(keys))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[k[m] for k, m in zip(keys, many)]]))
-    bits = []
-    for k in keys:
-        at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
-        bits.append(np.packbits(twice[at] == k if len(twice) else np.zeros(len(k), bool)).tobytes())
-    return pa.table({"block": [b for b, _ in rows], "bucket": [key[0].as_py()] * len(rows), "bits": bits}, schema=REPLY)
+REPLY = pa.schema([("block", pa.int64()), ("rec", pa.int32()), ("bits", pa.int32())])
 
 
 def refine_bucket(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """For one bucket: sort its suffixes on depth 50; which strings of each record start in a document smaller than its own."""
-    rows = [(r["block"], expand(r["data"])) for r in t.select(["block", "data"]).to_pylist()]
-    found, docs = [], []
-    for _, (size, doc, context) in rows:
-        size = size.astype(np.int64)
-        begin = np.cumsum(size + LENGTH - 1) - (size + LENGTH - 1)
-        found.append(refined(identifiers(context))[spread(begin, size)])
-        docs.append(np.repeat(doc, size))
-    f, d = np.concatenate(found), np.concatenate(docs)
-    order = np.argsort(f)
-    f = f[order]
-    first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-    least = np.empty(len(f), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(d[order], first), np.diff(np.append(first, len(f))))
-    smaller = least < d
-    del f, d, order, first, least
+    """For one group of buckets: which strings of each run start in a document smaller than the run's own, as bits."""
+    runs = t.column("context").combine_chunks().dictionary_encode()
+    which, doc, bucket = runs.indices.to_numpy(), t.column("doc").to_numpy(), t.column("key").to_numpy()
+    block, rec = t.column("block").to_numpy(), t.column("rec").to_numpy()
+    n = len(runs.dictionary)
+    _, offsets, data = runs.dictionary.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[: n + 1].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8)
+    size = np.diff(offsets) - (LENGTH - 1)
+    least = np.full(n, LAST)
+    np.minimum.at(least, which, doc)
+    own = np.zeros(n, np.int64)
+    own[which] = bucket
+    smallest = np.full((n, RUN), LAST)
+    strings = np.arange(RUN) < size[:, None]
+    smallest[strings] = np.repeat(least, size)
+    # buckets where runs differ
+    order = np.argsort(own, kind="stable")
+    edge = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+    count = np.diff(np.append(edge, n))
+    several = np.zeros(n, bool)
+    several[order] = np.repeat(count, count) > 1
+    at = order[several[order]]
+    while len(at):
+        end = min(len(at) - 1, int(np.searchsorted(np.cumsum(size[at] + LENGTH - 1), CHUNK * 8)))
+        part, at = np.split(at, [int(np.searchsorted(own[at], own[at[end]], side="right"))])  # whole buckets
+        long = size[part] + LENGTH - 1
+        text = buf[spread(offsets[part], long)]
+        left = np.repeat(np.cumsum(long), long) - np.arange(len(text))
+        begin = np.cumsum(long) - long
+        start = spread(begin, size[part])
+        found = classes(text, left)[start]
+        low = np.repeat(least[part], size[part])
+        turn = np.argsort(found, kind="stable")
+        head = np.flatnonzero(np.append(True, found[turn][1:] != found[turn][:-1]))
+        lows = np.empty(len(found), np.int64)
+        lows[turn] = np.repeat(np.minimum.reduceat(low[turn], head), np.diff(np.append(head, len(found))))
+        smallest[np.repeat(part, size[part]), start - np.repeat(begin, size[part])] = lows
+    bits = np.zeros(len(which), np.uint32)
+    for a in range(0, len(which), 1 << 15):
+        goes = smallest[which[a : a + (1 << 15)]] < doc[a : a + (1 << 15), None]
+        bits[a : a + (1 << 15)] = np.packbits(goes, axis=1, bitorder="little").view(np.uint32)[:, 0]
+    told = np.flatnonzero((bits != 0) & (block >= 0))
     release()
-    cuts = np.cumsum([len(x) for x in found])[:-1]
-    return pa.table({"block": [b for b, _ in rows], "bucket": [key[0].as_py()] * len(rows), "bits": [np.packbits(x).tobytes() for x in np.split(smaller, cuts)]}, schema=REPLY)
+    return pa.table({"block": block[told], "rec": rec[told], "bits": bits[told].view(np.int32)}, schema=REPLY)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -290,64 +330,67 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     """Run the rounds; ``finish(table, texts, masks)`` makes a block's result, masks being None where nothing goes."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise EngineError("unsupportedID", f"{id_col} is {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix-dedup")
     blocks = scratch.save(pack_blocks(docs, text_col), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    bits = min(64, max(1, total).bit_length() + 16)
-    message = "bucket int, block long, data binary"
+    cuts = bucket_cuts(max(shuffle_partitions(spark), -(-total // BUCKET_BYTES)))
 
     def entries(batches):
         for b in batches:
             for r in rows_of(b):
-                block = open_block(r["payload"], id_col, text_col, False)[2]
-                key, many, _ = block.entries()
-                edges = bucket_edges(key, buckets)
-                rows = [(k, r["block"], squeeze(*to_gaps(key[a:z], bits), np.packbits(many[a:z]))) for k, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
-
-    def as_list(replies: DataFrame, name: str) -> DataFrame:
-        return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+                key, many, _ = open_block(r["payload"], id_col, text_col, False)[2].entries()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), r["block"])), pa.array(many)], names=["key", "block", "many"])
 
-    first = blocks.select("block", "payload").mapInArrow(entries, message).groupBy("bucket").applyInArrow(shared_entries, "block long, bucket int, bits binary")
-    first = as_list(scratch.save(first, "first"), "first")
+    # buckets that two documents enter, as lists for each block (no longer than the block's own entries)
+    same = Window.partitionBy("key")
+    entered = blocks.select("block", "payload").mapInArrow(entries, "key long, block long, many boolean")
+    shared = entered.select("key", "block", F.count(F.lit(1)).over(same).alias("n"), F.max("many").over(same).alias("two")).where("n > 1 OR two")
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    first = shared.groupBy("block").agg(F.collect_list("key").alias("first"), F.collect_list(F.when(salts > 1, F.col("key"))).alias("hot"), F.collect_list(F.when(salts > 1, salts)).alias("salts"))
+    first = scratch.save(first, "first")
 
     def contexts(batches):
         for b in batches:
             for r in rows_of(b):
                 block = open_block(r["payload"], id_col, text_col, True)[2]
-                key, _, place = block.entries()
-                edges = bucket_edges(key, buckets)
-                runs, record, source, least = block.records(gather_bits(r["first"], np.diff(edges)), place)
-                ends = np.searchsorted(place[source], edges)
-                rows = []
-                for k, (a, z) in enumerate(zip(ends, ends[1:])):
-                    if z > a:
-                        s = source[a:z]
-                        rows.append((k, r["block"], squeeze(block.size[s].astype(np.uint8), least[a:z], block.buf[spread(block.start[s], block.size[s] + LENGTH - 1)])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
-
-    second = blocks.select("block", "payload").join(first, "block", "left").mapInArrow(contexts, message).groupBy("bucket").applyInArrow(refine_bucket, "block long, bucket int, bits binary")
-    second = as_list(scratch.save(second, "second"), "second")
+                source, least = block.records(np.sort(numbers(r["first"]).view(U)))[2:]
+                key, size = block.key[source], block.size[source] + LENGTH - 1
+                dealt = dict(zip(numbers(r["hot"]).view(U).tolist(), numbers(r["salts"]).tolist()))
+                parts = np.array([dealt.get(k, 1) for k in key.tolist()], np.int32) if dealt else np.ones(len(key), np.int32)
+                offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+                text = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(block.buf[spread(block.start[source], size)])])
+                cols = [np.searchsorted(cuts, key, side="right").astype(np.int32), parts, (mix(np.array([r["block"]], U)) % parts.astype(U)).astype(np.int32), key.view(np.int64), least, np.full(len(key), r["block"]), np.arange(len(key), dtype=np.int32)]
+                made = pa.RecordBatch.from_arrays([*map(pa.array, cols), text], names=["bucket", "parts", "part", "key", "doc", "block", "rec", "context"])
+                for a in range(0, made.num_rows, 1 << 14):
+                    yield made.slice(a, 1 << 14)
+
+    told = blocks.select("block", "payload").join(first, "block").mapInArrow(contexts, "bucket int, parts int, part int, key long, doc long, block long, rec int, context binary")
+    if not first.where(F.size("hot") > 0).isEmpty():
+        told = scratch.save(told, "told")
+        hot = told.where("parts > 1").groupBy("bucket", "parts", "key", "context").agg(F.min("doc").alias("doc"))
+        every = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"block": F.lit(-1).cast("long"), "rec": F.lit(-1)})
+        told = told.unionByName(every)
+    second = told.drop("parts").groupBy("bucket", "part").applyInArrow(refine_bucket, "block long, rec int, bits int")
+    second = scratch.save(second.groupBy("block").agg(F.collect_list("rec").alias("rec"), F.collect_list("bits").alias("bits")), "second")
+    scratch.drop("told")
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
                 t, texts, block = open_block(r["payload"], id_col, text_col, True)
-                key, _, place = block.entries()
-                edges = bucket_edges(key, buckets)
-                runs, record, source, least = block.records(gather_bits(r["first"], np.diff(edges)), place)
-                strings = block.size[source]
-                ends = np.searchsorted(place[source], edges)
-                upto = np.concatenate([[0], np.cumsum(strings)])
-                smaller = gather_bits(r["second"], np.diff(upto[ends]))
+                runs, record, source, least = block.records(np.sort(numbers(r["first"]).view(U)))
+                bits = np.zeros(len(source), np.uint32)
+                bits[numbers(r["rec"])] = numbers(r["bits"], np.int32).view(np.uint32)
                 gone = np.zeros(len(block.buf) + 1, np.int32)
                 if len(runs):
-                    at = spread(block.start[runs], block.size[runs])
-                    goes = smaller[spread(upto[:-1][record], block.size[runs])] | np.repeat(block.doc[runs] > least[record], block.size[runs])
-                    gone[at[goes]] = 1
+                    size = block.size[runs]
+                    at = spread(block.start[runs], size)
+                    goes = np.repeat(bits[record], size) >> spread(np.zeros(len(runs), np.int64), size).astype(np.uint32) & np.uint32(1)
+                    gone[at[(goes > 0) | np.repeat(block.doc[runs] > least[record], size)]] = 1
                     # a byte goes if one of the 50 strings that cover it does
                     sums = np.cumsum(gone)
                     sums[LENGTH:] -= sums[:-LENGTH].copy()
@@ -359,7 +402,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
                     masks.append(m if m.any() else None)
                 yield from finish(t, texts, masks)
 
-    joined = blocks.select("block", "payload").join(first, "block", "left").join(second, "block", "left")
+    joined = blocks.select("block", "payload").join(first.select("block", "first"), "block", "left").join(second, "block", "left")
     return joined.mapInArrow(apply, schema)
 
 
