@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from vecloom.llm.textkit import BASE, BYTE, U, mix, release
+from vecloom.llm.textkit import BASE, BYTE, U, forget, mix, release
 from vecloom.runtime import Scratch, ship, shuffle_partitions, table
 from vecloom.types import EngineError
 
@@ -352,6 +352,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
     salts = F.ceil(F.col("n") / HOT).cast("int")
     first = shared.groupBy("block").agg(F.collect_list("key").alias("first"), F.collect_list(F.when(salts > 1, F.col("key"))).alias("hot"), F.collect_list(F.when(salts > 1, salts)).alias("salts"))
     first = scratch.save(first, "first")
+    forget(spark)
 
     def contexts(batches):
         for b in batches:
@@ -363,20 +364,24 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
                 parts = np.array([dealt.get(k, 1) for k in key.tolist()], np.int32) if dealt else np.ones(len(key), np.int32)
                 offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
                 text = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(block.buf[spread(block.start[source], size)])])
-                cols = [np.searchsorted(cuts, key, side="right").astype(np.int32), parts, (mix(np.array([r["block"]], U)) % parts.astype(U)).astype(np.int32), key.view(np.int64), least, np.full(len(key), r["block"]), np.arange(len(key), dtype=np.int32)]
-                made = pa.RecordBatch.from_arrays([*map(pa.array, cols), text], names=["bucket", "parts", "part", "key", "doc", "block", "rec", "context"])
+                group = np.searchsorted(cuts, key, side="right") | (mix(np.array([r["block"]], U)) % parts.astype(U)).astype(np.int64) << 40
+                cols = [group, key.view(np.int64), least, np.full(len(key), r["block"]), np.arange(len(key), dtype=np.int32)]
+                made = pa.RecordBatch.from_arrays([*map(pa.array, cols), text], names=["group", "key", "doc", "block", "rec", "context"])
                 for a in range(0, made.num_rows, 1 << 14):
                     yield made.slice(a, 1 << 14)
 
-    told = blocks.select("block", "payload").join(first, "block").mapInArrow(contexts, "bucket int, parts int, part int, key long, doc long, block long, rec int, context binary")
-    if not first.where(F.size("hot") > 0).isEmpty():
+    told = blocks.select("block", "payload").join(first, "block").mapInArrow(contexts, "group long, key long, doc long, block long, rec int, context binary")
+    hot = first.where(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "salts")).alias("x")).select(F.col("x.hot").alias("key"), F.col("x.salts").alias("parts")).distinct()
+    if not hot.isEmpty():
         told = scratch.save(told, "told")
-        hot = told.where("parts > 1").groupBy("bucket", "parts", "key", "context").agg(F.min("doc").alias("doc"))
-        every = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"block": F.lit(-1).cast("long"), "rec": F.lit(-1)})
-        told = told.unionByName(every)
-    second = told.drop("parts").groupBy("bucket", "part").applyInArrow(refine_bucket, "block long, rec int, bits int")
+        runs = told.join(hot, "key").groupBy("key", "parts", "context").agg(F.min("doc").alias("doc"), F.min(F.col("group").bitwiseAND((1 << 40) - 1)).alias("bucket"))
+        every = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        group = F.col("bucket") + F.shiftleft(F.col("part").cast("long"), 40)
+        told = told.unionByName(every.select(group.alias("group"), "key", "doc", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("rec"), "context"))
+    second = told.groupBy("group").applyInArrow(refine_bucket, "block long, rec int, bits int")
     second = scratch.save(second.groupBy("block").agg(F.collect_list("rec").alias("rec"), F.collect_list("bits").alias("bits")), "second")
     scratch.drop("told")
+    forget(spark)
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,12 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def forget(spark) -> None:
+    """Let Spark delete the shuffle files of tables that are saved by now: it does once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of a column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]
