@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.llm import embedding_dedup, minhash_dedup
 from vecloom.llm.components import components
@@ -104,8 +105,10 @@ def brute_links(rows, threshold=0.95):
     return sorted((k, n[i], least[root[i]], k == least[root[i]]) for i, (k, _) in enumerate(rows))
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "TILE_BYTES", 2048)
+@pytest.mark.parametrize(("size", "slab"), [(256, 7), (2 << 20, 1 << 23)])
+def test_vectors_against_brute_force(spark, monkeypatch, size, slab):
+    monkeypatch.setattr(embedding_dedup, "TILE_BYTES", size)
+    monkeypatch.setattr(embedding_dedup, "SLAB", slab)
     rng = np.random.default_rng(2)
     rows = []
     for g in range(25):
@@ -136,3 +139,49 @@ def test_components(spark):
             root[q] = p
     got = components(spark.createDataFrame(pairs, "src long, dst long"), Scratch(spark, "test")).collect()
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root}
+
+
+def test_bounds_hold_at_the_threshold():
+    """Sure and doubtful pairs together are all pairs at the threshold or above, and the sure ones are."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((6, 32))
+    x = embedding_dedup.unit(np.repeat(base, 20, 0) + rng.standard_normal((120, 32)) * 0.22)
+    sure, doubt = embedding_dedup.compare(embedding_dedup.quantise(x), None, 0.95)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
+    assert set(zip(*sure)) <= want <= set(zip(*sure)) | set(zip(*doubt)) and len(doubt[0]) > 20
+    assert set(zip(*sure)) | set(zip(*embedding_dedup.exactly(x, None, 0.95))) == want
+
+
+def test_near_duplicates_keep_odd_columns_and_one_of_each_row(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b", text, 1, 5), ("a", text, 2, 6), ("a", text, 3, 7), (None, text, 4, 8), ("c", "other words stand in this one here", 5, 9), ("d", "", 6, 1), ("d", "", 7, 2), (None, None, 8, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, __node long, NODE long")
+    left = minhash_dedup.drop_near_duplicates(df)
+    got = sorted(left.collect(), key=lambda r: r["__node"])
+    assert left.columns == df.columns and left.dtypes == df.dtypes
+    assert [(r["doc_id"], r["__node"], r["NODE"]) for r in got] == [("a", 2, 6), ("c", 5, 9), ("d", 6, 1), ("d", 7, 2), (None, 8, 3)]
+    assert Counter(r["class_id"] for r in minhash_dedup.near_classes(df).collect()) == {None: 1, "a": 4, "c": 1, "d": 2}
+
+
+def test_joins_of_hot_buckets(spark, monkeypatch):
+    rows = spark.range(500).select((F.col("id") % 3).alias("bucket"), F.col("id").alias("node"))
+    small = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, rows.join(small, "bucket").collect()))
+    for k, most in enumerate((50_000, 1)):
+        monkeypatch.setattr(minhash_dedup, "LARGEST_BROADCAST", most)
+        assert sorted(map(tuple, minhash_dedup._joined(rows, small, Scratch(spark, "test"), f"s{k}").select("bucket", "node", "n").collect())) == want
+
+
+def test_recall_just_above_the_threshold():
+    """Pairs of similarity 0.8 to 0.82: all share a band, and all pass the agreement that small buckets ask for."""
+    rng = np.random.default_rng(9)
+    row, digest, pairs = [], [], 400
+    for p in range(pairs):
+        own = minhash_dedup.mix(rng.integers(1, 1 << 62, 220).astype(np.uint64))
+        for k in (0, 1):
+            row.append(np.full(200, 2 * p + k))
+            digest.append(own[20 * k : 200 + 20 * k])
+    sig = minhash_dedup.signatures(2 * pairs, np.concatenate(row), np.concatenate(digest), np.ones(400 * pairs, np.int64))
+    bands = minhash_dedup.bands(sig)
+    found = [(bands[2 * p] == bands[2 * p + 1]).any() and (sig[2 * p] == sig[2 * p + 1]).mean() >= minhash_dedup.LEAST_AGREEMENT for p in range(pairs)]
+    assert np.mean(found) >= 0.999

@@ -22,9 +22,16 @@ So pairs within a large group are never spelled out, and no link between compone
 
 Words are runs of letters, digits and _ of the lower-case text; a text with fewer than five is one shingle.
 
-Edge cases: a null or empty text, or one without a word, is a class of its own; rows that repeat both id
-and text are one document, and each is returned; rows that repeat an id with another text are documents of
-their own; an empty table gives an empty result; other columns are ignored here.
+Rows are numbered once, in a table saved at the start, and known by that number; ids may be of any type that
+sorts. Classes are told by 128-bit digests of their multisets, links by the multisets themselves. Joins that
+deal rows by bucket are broadcast joins up to a checked size and salted beyond it, since one bucket can hold
+any share of the rows; buckets compared whole are dealt out in pairs of chunks, so that the work on one, and
+the copies of its rows sent, grow with the square of its unlinked members over 1,024.
+
+Edge cases: a null or empty text, or one without a word, is a class of its own; of rows that repeat both id
+and text all are returned by :func:`near_classes` and one stays in :func:`drop_near_duplicates`; rows that
+repeat an id with another text are documents of their own; an empty table gives an empty result; other columns
+are ignored here and kept by :func:`drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.textkit import BASE, U, groups, mix, release, slices, strings, words
+from vecloom.llm.textkit import BASE, U, forget, groups, mix, release, slices, strings, words
 from vecloom.runtime import Scratch, ship, table
 
 WORDS = 5
@@ -46,6 +53,7 @@ SLOTS, BANDS = 128, 32
 LEAST_AGREEMENT = 0.62
 SMALL_BUCKET = 64
 CHUNK_ROWS, CHUNK_UNITS, SLICE = 1024, 400_000, 2048
+LARGEST_BROADCAST, SALTS = 50_000, 64
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,8 +145,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least) / float(total - least) if total else 0.0
 
 
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.lit(5), id_col, text_col)
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` lacks (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _sign(batches):
@@ -259,27 +271,37 @@ def _exact(threshold: float):
     return run
 
 
-def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """node (of id and text), id, has (a word), component: one row per input row."""
-    spark = docs.sparkSession
+def _joined(rows: DataFrame, small: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Join on ``bucket`` of rows of which one bucket can hold any share: broadcast up to a checked size, salted beyond it."""
+    small = scratch.save(small, name)
+    if small.limit(LARGEST_BROADCAST + 1).count() <= LARGEST_BROADCAST:
+        return rows.join(F.broadcast(small), "bucket")
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(SALTS)).cast("int")).join(spread, ["bucket", "salt"]).drop("salt")
+
+
+def _members(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Rows (node, id, text), each with a node of its own, to node, id, has (a word), component: one row per input row."""
+    spark = rows.sparkSession
     ship(spark)
-    rows = docs.select(row_key(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(rows.mapInArrow(_sign, "node long, id long, d1 long, d2 long, bands array<long>, sig binary"), "signed")
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = scratch.save(rows.mapInArrow(_sign, f"node long, id {kind}, d1 long, d2 long, bands array<long>, sig binary"), "signed")
 
     # 1: text classes; the node of a class is its least one
     classes = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("node").alias("rep"))
     classes = scratch.save(classes, "classes")
-    reps = signed.join(classes, ["d1", "d2"]).where(F.col("node") == F.col("rep")).dropDuplicates(["node"]).select("node", "bands", "sig")
+    reps = signed.join(classes, ["d1", "d2"]).where(F.col("node") == F.col("rep")).select("node", "bands", "sig")
     reps = scratch.save(reps, "reps")
 
     # 2: buckets of two classes or more
     entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     sized = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.save(entries.join(sized, "bucket"), "members")
+    forget(spark)
     known = members.groupBy("node").agg(F.sum("n").alias("shared"))
     centres = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node"))["node"].alias("centre"))
     wanted = members.select("node").distinct()
-    texts = scratch.save(rows.select("node", "text").join(wanted, "node").dropDuplicates(["node"]), "texts")
+    texts = scratch.save(rows.select("node", "text").join(wanted, "node"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("node").alias("src"), F.col("text").alias("a")), texts.select(F.col("node").alias("dst"), F.col("text").alias("b"))
@@ -301,7 +323,7 @@ def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scra
     units = texts.join(large.select("node").distinct(), "node").select("node", "text").mapInArrow(_units, "node long, n_units long, units binary")
     units = scratch.save(units, "units")
     weights = large.join(units.select("node", "n_units"), "node").groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n_units") / CHUNK_UNITS), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS)).cast("int").alias("chunks"))
-    dealt = large.join(weights, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = _joined(large, weights, scratch, "weights").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component")
     whole = dealt.join(units, "node").groupBy("bucket", "low", "high").applyInArrow(_exact(threshold), "src long, dst long").distinct()
     whole = scratch.save(whole, "whole")
@@ -311,13 +333,17 @@ def _members(docs: DataFrame, threshold: float, id_col: str, text_col: str, scra
     member = signed.select("node", "id", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "node"))
     member = member.join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
     member = scratch.save(member, "member")
-    scratch.drop("signed", "texts", "members", "where", "open", "units", "reps", "classes")
+    scratch.drop("signed", "texts", "members", "where", "open", "units", "weights", "reps", "classes", "star", "whole", "cross", "first-out", "second-out")
+    forget(spark)
     return member
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (the least id of its class), class_size, kept: one row per input row."""
-    member = _members(docs, threshold, id_col, text_col, Scratch(docs.sparkSession, "minhash-dedup"))
+    scratch = Scratch(docs.sparkSession, "minhash-dedup")
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    member = _members(scratch.save(rows, "rows"), threshold, scratch)
+    scratch.drop("rows")
     size = member.where("has").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     out = member.join(size, "component", "left")
     class_id = F.when(F.col("has"), F.col("least")).otherwise(F.col("id"))
@@ -325,14 +351,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay if of each class one does: the least id's."""
+    """The rows of ``docs``, with all their columns, that stay if of each class one does: the least id's (of rows that
+    repeat id and text, the first). Rows without a word all stay."""
     scratch = Scratch(docs.sparkSession, "minhash-stage")
-    member = _members(docs, threshold, id_col, text_col, scratch)
-    stays = member.where("has").groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "node"))["node"].alias("stay"))
-    gone = member.join(stays, "component").where(F.col("node") != F.col("stay")).select(F.col("node").alias("__node")).distinct()
-    left = docs.withColumn("__node", row_key(id_col, text_col)).join(scratch.save(gone, "gone"), "__node", "left_anti")
-    if not member.where("has").groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat id and text
-        left = left.dropDuplicates(["__node"])
+    node = fresh(docs, "node")
+    rows = scratch.save(docs.withColumn(node, F.monotonically_increasing_id()), "rows")
+    member = _members(rows.select(F.col(node).alias("node"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), threshold, scratch)
+    stays = member.where("has").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node"))["node"].alias("stay"))
+    gone = member.where("has").join(stays, "component").where(F.col("node") != F.col("stay")).select(F.col("node").alias(node))
+    left = rows.join(scratch.save(gone, "gone"), node, "left_anti")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
