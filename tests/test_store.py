@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.sources import binary_format, coordinator, durable, spec
 from vecloom.sources.store import BOUNDARIES, VectorStore
@@ -46,11 +49,11 @@ def test_missing_is_not_empty_incompatible_or_corrupt(spark, tmp_path):
     with pytest.raises(EngineError, match="incompatible"):
         other.load()
     s.commit(upserts=spark.createDataFrame([("one", [1.0, 0.0])], UP))
-    part = next(s.folder.glob("segments/*/*.parquet"))
+    part = next(Path(s.folder).glob("segments/*/*.parquet"))
     part.write_bytes(part.read_bytes()[:-1] + b"x")
     with pytest.raises(EngineError, match="corrupt"):
         s.load()
-    s.manifest_path.write_bytes(s.manifest_path.read_bytes().replace(b"digest", b"digesT"))
+    Path(s.manifest_path).write_bytes(Path(s.manifest_path).read_bytes().replace(b"digest", b"digesT"))
     with pytest.raises(EngineError, match="corrupt"):
         s.load()
 
@@ -135,6 +138,8 @@ def test_coordinator(tmp_path):
 
 def test_corrupt_coordinator_is_kept(tmp_path):
     coordinator.Coordinator(str(tmp_path)).adopt(REF)
+    with pytest.raises(EngineError, match="invalidTransition"):
+        coordinator.Coordinator.quarantine(str(tmp_path))
     path = tmp_path / "coordinator.json"
     damaged = path.read_bytes()[:-9]
     path.write_bytes(damaged)
@@ -162,3 +167,27 @@ def test_identity_and_registry(tmp_path):
     before = spec.S4.checkpoint_hash(str(tmp_path))
     (tmp_path / "vocab.json").write_text("other")
     assert spec.S4.checkpoint_hash(str(tmp_path)) != before
+
+
+def test_a_batch_is_encoded_once(spark, tmp_path):
+    """What was written is what was checked: the rows' function runs once a row."""
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def encode(ids: pd.Series) -> pd.Series:
+        seen.add(len(ids))
+        return pd.Series([[1.0, 2.0]] * len(ids))
+
+    s = make(spark, tmp_path)
+    s.commit(upserts=spark.createDataFrame([(f"i{k}",) for k in range(7)], "id string").select("id", encode("id").alias("embedding")))
+    assert seen.value == 7 and len(ids(s)) == 7
+
+
+def test_a_store_behind_a_path_that_only_spark_opens(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shop.link./in", f"file://{tmp_path}")
+    s = VectorStore(spark, "viewfs://shop/in/store", "identity", "g1", 2)
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], UP)
+    assert s.commit(upserts=rows) == 1 and s.commit(deletes=rows.where("id = 'a'").select("id")) == 2
+    assert s.compact() == 3 and ids(s) == ["b"]

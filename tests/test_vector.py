@@ -111,3 +111,62 @@ def test_packed_index(spark):
             packed.PackedIndex.build(rows.unionAll(frame(spark, [("bad", bad)])), 32)
         assert e.value.code == code
     assert packed.PackedIndex.build(frame(spark, []), 32).search({"a": x[0].tolist()}, 5).count() == 0
+
+
+def test_updates_of_the_packed_index(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 8)).astype(np.float32)
+    old = packed.PackedIndex.build(frame(spark, [(f"i{k:02}", v.tolist()) for k, v in enumerate(x)]).repartition(3), 8)
+    held = lambda index: {r["id"]: r["score"] for r in index.search({"q": x[0].tolist()}, 100).collect()}
+    first = held(old)
+    new = old.upsert(frame(spark, [("i01", x[0].tolist()), ("new", x[0].tolist())]))
+    assert set(held(new)) == {*first, "new"} and abs(held(new)["i01"] - 1) < 2e-3 and held(old) == first
+    less = new.remove(frame(spark, [("i01", None), ("unknown", None)]).select("id"))
+    assert set(held(less)) == {*first, "new"} - {"i01"}
+    assert held(less.remove(less.blocks.selectExpr("explode(ids) AS id"))) == {}
+    for bad, code in (([("a", x[0].tolist()), ("a", x[1].tolist())], "duplicateID"), ([("a", [0.0] * 8)], "zeroNormVector"), ([("a", [1.0])], "dimensionMismatch")):
+        with pytest.raises(EngineError, match=code):
+            old.upsert(frame(spark, bad))
+    assert held(old) == first
+
+
+def test_invalid_rows_fail_item_queries(spark):
+    good = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    for bad, code in (([float("nan"), 1.0], "nonFiniteVector"), ([1.0], "dimensionMismatch"), ([0.0, 0.0], "zeroNormVector"), (None, "dimensionMismatch")):
+        rows = frame(spark, [*good, ("c", bad)])
+        with pytest.raises(EngineError, match=code):
+            search.item_query(rows, "a", 2, visible=frame(spark, good).select("id"))
+        for pair in ((rows, frame(spark, good)), (frame(spark, good), rows)):
+            with pytest.raises(EngineError, match=code):
+                search.batch_top(pair[0], pair[1].withColumnRenamed("id", "query_id"), 2, 2)
+    with pytest.raises(EngineError, match="referencePhotoMissing"):
+        search.item_query(frame(spark, good), "z", 2)
+    assert [r["id"] for r in search.item_query(frame(spark, good), "b", 2).collect()] == ["b", "a"]
+
+
+def test_many_queries_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 8)).astype(np.float32)
+    rows = frame(spark, [(f"i{k:02}", v.tolist()) for k, v in enumerate([*x, x[0], x[0]])]).repartition(4)
+    asked = rows.limit(30).withColumnRenamed("id", "query_id")
+    want = None
+    for most in (10_000, 3):
+        monkeypatch.setattr(search, "LARGEST_BROADCAST", most)
+        monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+        got = sorted(map(tuple, search.batch_top(rows, asked, 4, 8).collect()))
+        assert want is None or got == want
+        want = got
+    index = search.VectorIndex.publish(rows, 8)
+    name = want[0][0]
+    assert [(r, i) for q, r, i, _ in want if q == name] == [(r["rank"], r["id"]) for r in search.similar(index, name, 4).collect()]
+    assert search.batch_top(rows, asked, -1, 8).count() == 0
+
+
+def test_parity_of_bad_pairs(spark):
+    from vecloom.operators import parity
+
+    one, off = [1.0, 0.0], [1.005, 0.0]
+    rows = [("zero", one, [0.0, 0.0]), ("short", one, [1.0]), ("null", one, None), ("nan", one, [float("nan"), 0.0]), ("loose", off, one), ("good", one, one)]
+    df = spark.createDataFrame([(i, "image", a, b) for i, a, b in rows], "id string, kind string, reference array<float>, candidate array<float>")
+    got = {r["id"]: r["failures"] for r in parity.pair_gate(df, "fp16").collect()}
+    assert all("vector-validation" in got[i] for i in ("zero", "short", "null", "nan", "loose")) and got["good"] == []

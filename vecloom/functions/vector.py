@@ -44,9 +44,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_raw(a: Column, b: Column) -> Column:
-    """One division at the end, no clamp; Float32."""
+    """One division at the end, no clamp; Float32. Null for a vector of norm 0 and for unequal lengths."""
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    return (dot / (norm(a) * norm(b))).cast("float")
+    return F.try_divide(dot, norm(a) * norm(b)).cast("float")
 
 
 def cosine_distance(similarity: Column) -> Column:

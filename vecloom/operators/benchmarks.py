@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.types import EngineError
@@ -31,10 +31,60 @@ def cross_run(samples: DataFrame) -> DataFrame:
 
 
 def compare(baseline: DataFrame, candidate: DataFrame, limit: float) -> DataFrame:
-    """(metric, median) of both: change in percent, and whether it passes the limit."""
-    both = baseline.select("metric", F.col("median").alias("old")).join(candidate.select("metric", F.col("median").alias("new")), "metric")
-    change = F.round(100 * (F.col("new") / F.col("old") - 1), 6)
-    return both.select("metric", change.alias("change_percent"), (change > limit).alias("regression"))
+    """(metric, median) of both: change in percent, and whether it passes the limit (told before rounding).
+
+    Refused: metrics that only one side has, no metric at all, and times that are not positive, finite numbers.
+    """
+    both = baseline.select("metric", F.col("median").alias("old")).join(candidate.select("metric", F.col("median").alias("new")), "metric", "full_outer")
+    sound = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    one_sided = F.col("old").isNull() | F.col("new").isNull()
+    seen = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(one_sided).alias("odd"), F.count_if(~one_sided & ~(sound("old") & sound("new"))).alias("bad")).first()
+    if seen["odd"] or not seen["n"]:
+        raise EngineError("metricsDiffer")
+    if seen["bad"]:
+        raise EngineError("invalidTiming")
+    change = 100 * (F.col("new") / F.col("old") - 1)
+    return both.select("metric", F.round(change, 6).alias("change_percent"), (change > limit).alias("regression"))
+
+
+#: What two reports must have in common to be compared, and the states of heat that forbid it.
+KEY = ("workloadVersion", "configuration", "modelID", "modelRevision", "modelContract", "embeddingDimension", "hardware", "os", "platform", "simulatorModel", "gpuName", "physicalMemoryBytes", "actualImageComputeUnits", "actualTextComputeUnits", "artifacts")
+HOT = ("serious", "critical")
+
+
+def problem(report: dict, needed: list[str]) -> str | None:
+    """Why a report cannot be used: the first rule it breaks."""
+    metrics = report.get("metrics") or {}
+    times = [t for m in metrics.values() for t in m.get("samples", [None])]
+    if report.get("schema") != 1 or report.get("status") != "complete":
+        return "incompleteReport"
+    if sorted(metrics) != sorted(needed):
+        return "metricsDiffer"
+    if not times or not all(isinstance(t, (int, float)) and 0 < t < float("inf") for t in times):
+        return "invalidTiming"
+    return None
+
+
+def compare_reports(spark: SparkSession, baseline: dict, candidate: dict, needed: list[str], limit: float) -> DataFrame:
+    """``compare`` of two whole reports ({schema, status, key, thermalStates, metrics: {name: {samples}}})."""
+    for report in (baseline, candidate):
+        if (code := problem(report, needed)) is not None:
+            raise EngineError(code)
+    if any(baseline["key"].get(k) != candidate["key"].get(k) for k in KEY):
+        raise EngineError("notComparable")
+    if {*baseline["thermalStates"], *candidate["thermalStates"]} & {*HOT}:
+        raise EngineError("thermalPressure")
+    rows = lambda r: spark.createDataFrame([(n, float(t)) for n, m in r["metrics"].items() for t in m["samples"]], "metric string, ms double").groupBy("metric").agg(F.median("ms").alias("median"))
+    return compare(rows(baseline), rows(candidate), limit)
+
+
+def write_report(compared: DataFrame, folder: str) -> None:
+    """A comparison as one JSON file and one table in Markdown; it has a row for each metric, a few dozen."""
+    compared.orderBy("metric").coalesce(1).write.mode("overwrite").json(f"{folder}/comparison")
+    line = F.format_string("| %s | %+.1f %% | %s |", "metric", "change_percent", F.when(F.col("regression"), "slower").otherwise("-"))
+    head = compared.sparkSession.createDataFrame([(0, "| metric | change | verdict |"), (1, "|-|-|-|")], "at int, value string")
+    body = compared.select(F.lit(2).alias("at"), line.alias("value"))
+    head.unionByName(body).orderBy("at", "value").select("value").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
 
 
 def required_metrics(sizes: list[int], with_search: bool = True) -> list[str]:

@@ -1,8 +1,9 @@
 """The accelerated index: unit vectors packed in Float16 blocks, validated once while they are built.
 
 A block is one row (ids, matrix), so a search reads a few large values instead of many arrays, multiplies
-each block with all queries in Float32 and sends on its best K of each query. An update makes a new packed
-index from the old one's rows; nothing is changed in place.
+each block with all queries in Float32 and sends on its best K of each query. ``upsert`` and ``remove`` make a
+new index from the old one's rows: what comes in is validated as a whole before the old one is left, so a bad
+row changes nothing, and the old index answers until it is released.
 """
 
 from __future__ import annotations
@@ -89,5 +90,38 @@ class PackedIndex:
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
+    def _without(self, ids: DataFrame) -> DataFrame:
+        """The blocks again, without these ids (unknown ones are ignored)."""
+        dimension, most = self.dimension, max(1, BLOCK_BYTES // (2 * self.dimension))
+
+        def open_(batches):
+            for b in batches:
+                for ids, units in zip(b.column(0), b.column(1)):
+                    width = 2 * dimension
+                    raw = pa.Array.from_buffers(pa.binary(width), len(ids.values), [None, units.as_buffer()])
+                    yield pa.RecordBatch.from_arrays([ids.values, raw.cast(pa.binary())], names=["id", "units"])
+
+        def close(batches):
+            for b in batches:
+                for a in range(0, b.num_rows, most):
+                    part = b.slice(a, most)
+                    ids = part.column(0)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b"".join(part.column(1).to_pylist())], pa.binary()), pa.array([None], pa.string())], names=["ids", "units", "error"])
+
+        rows = self.blocks.select("ids", "units").mapInArrow(open_, f"id {self.id_type}, units binary")
+        return rows.join(ids.select("id"), "id", "left_anti").mapInArrow(close, f"ids array<{self.id_type}>, units binary, error string")
+
+    def upsert(self, rows: DataFrame) -> PackedIndex:
+        """The index with (id, embedding) put in or replaced; an id must come once."""
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+        if seen["n"] != seen["ids"]:
+            raise EngineError("duplicateID")
+        new = PackedIndex.build(rows, self.dimension)
+        return PackedIndex(self._without(rows).unionByName(new.blocks).cache(), self.dimension, self.id_type)
+
+    def remove(self, ids: DataFrame) -> PackedIndex:
+        """The index without these ids; ids that it lacks are ignored."""
+        return PackedIndex(self._without(ids).cache(), self.dimension, self.id_type)
+
     def release(self) -> None:
         self.blocks.unpersist()

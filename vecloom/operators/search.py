@@ -12,6 +12,7 @@ from vecloom.runtime import ship
 from vecloom.types import DEFAULT_K, EngineError
 
 LARGEST_BROADCAST = 10_000
+ROW_BLOCK, QUERY_BLOCK = 16_384, 1024
 
 
 def validation_report(index: DataFrame, dimension: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -24,20 +25,30 @@ class VectorIndex:
 
     def __init__(self, rows: DataFrame, dimension: int, identity: str | None = None):
         self.rows, self.dimension, self.identity = rows, dimension, identity
+        self.known: dict = {}
 
     @classmethod
-    def publish(cls, rows: DataFrame, dimension: int, identity: str | None = None) -> VectorIndex:
-        """``rows``: (id, embedding). The check is one aggregate over all rows, before any filter can hide one."""
-        bad = validation_report(rows, dimension).agg(F.count(F.lit(1)).alias("n"), F.min_by("error", "id").alias("e"), F.min("id").alias("id")).first()
-        if bad["n"]:
-            raise EngineError(bad["e"], f"{bad['n']} rows, the first {bad['id']}")
-        return cls(rows, dimension, identity)
+    def publish(cls, rows: DataFrame, dimension: int, identity: str | None = None, item=None) -> VectorIndex:
+        """``rows``: (id, embedding). The check is one aggregate over all rows, before any filter can hide one; it
+        also fetches the vector of ``item``, if one is named."""
+        mine = F.coalesce(F.col("id") == F.lit(item), F.lit(False)) if item is not None else F.lit(False)
+        checked = rows.select("id", vector.error_name(F.col("embedding"), dimension).alias("error"), F.when(mine, F.col("embedding")).alias("mine"))
+        bad = F.col("error").isNotNull()
+        found = checked.agg(F.count_if(bad).alias("n"), F.min(F.when(bad, F.struct("id", "error"))).alias("first"), F.first("mine", ignorenulls=True).alias("mine")).first()
+        if found["n"]:
+            raise EngineError(found["first"]["error"], f"{found['n']} rows, the first {found['first']['id']}")
+        index = cls(rows, dimension, identity)
+        if found["mine"] is not None:
+            index.known[item] = list(found["mine"])
+        return index
 
     def require(self, identity: str | None) -> None:
         if self.identity is not None and identity is not None and identity != self.identity:
             raise EngineError("modelIdentityMismatch")
 
     def vector_of(self, item) -> list[float]:
+        if item in self.known:
+            return self.known[item]
         found = self.rows.where(F.col("id") == F.lit(item)).select("embedding").limit(2).collect()
         if not found:
             raise EngineError("referencePhotoMissing", str(item))
@@ -134,13 +145,52 @@ def similar(index: VectorIndex, item, k: int = DEFAULT_K, visible: DataFrame | N
     return search(index, index.vector_of(item), k, visible, backend)
 
 
-def batch_top(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score for many queries: (query_id, embedding). The queries are the small side."""
-    q = queries.select("query_id", vector.unit_double(F.col("embedding")).alias("q"))
-    q = F.broadcast(q) if q.limit(LARGEST_BROADCAST + 1).count() <= LARGEST_BROADCAST else q
-    scored = index.crossJoin(q).select("query_id", "id", vector.cosine_to_unit(F.col("embedding"), F.col("q")).alias("score"))
+def unit_blocks(rows: DataFrame, dimension: int, most: int) -> DataFrame:
+    """ids, units: rows of valid vectors packed into blocks of at most ``most``, in double precision at length 1."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, most):
+                part = b.slice(a, most)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float64)
+                v /= np.sqrt((v * v).sum(1, keepdims=True))
+                ids = part.column(0)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([v.tobytes()], pa.binary())], names=["ids", "units"])
+
+    return rows.select("id", "embedding").mapInArrow(run, f"ids array<{kind}>, units binary")
+
+
+def batch_top(index: DataFrame, queries: DataFrame, k: int, dimension: int) -> DataFrame:
+    """query_id, rank, id, score for many queries: (query_id, embedding).
+
+    Both sides are validated as a whole. Every vector is scaled once; blocks of rows meet blocks of queries, and a
+    pair of blocks sends on only its best k (and ties) of each query. Queries are broadcast up to a checked number.
+    """
+    ship(index.sparkSession)
+    asked = queries.select(F.col("query_id").alias("id"), "embedding")
+    for side in (index, asked):
+        VectorIndex.publish(side, dimension)
+    k = max(0, k)
+    few = asked.limit(LARGEST_BROADCAST + 1).count() <= LARGEST_BROADCAST
+    q = unit_blocks(asked.coalesce(1) if few else asked, dimension, QUERY_BLOCK).select(F.col("ids").alias("names"), F.col("units").alias("asked"))
+    pairs = unit_blocks(index, dimension, ROW_BLOCK).crossJoin(F.broadcast(q) if few else q)
+    kinds = asked.schema["id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for ids, units, names, against in zip(*b.columns):
+                if not k:
+                    continue
+                v, w = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dimension) for x in (units, against))
+                s = np.clip(v @ w.T, -1, 1).astype(np.float32)
+                least = np.partition(s, -k, axis=0)[-k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                i, j = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([names.values.take(pa.array(j)), ids.values.take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "id", "score"])
+
+    scored = pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score float")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 def status(index: DataFrame, results: DataFrame | None, failed: bool = False) -> str:
@@ -153,7 +203,5 @@ def status(index: DataFrame, results: DataFrame | None, failed: bool = False) ->
 
 
 def item_query(rows: DataFrame, item, dimension: int, k: int = DEFAULT_K, visible: DataFrame | None = None) -> DataFrame:
-    """``similar`` as one lazy plan: the item's row is broadcast, nothing is collected while planning."""
-    q = rows.where(F.col("id") == F.lit(item)).select(vector.unit_double(F.col("embedding")).alias("q")).limit(1)
-    scored = rows.crossJoin(F.broadcast(q)).select("id", vector.cosine_to_unit(F.col("embedding"), F.col("q")).alias("score"))
-    return top(visible_only(scored, visible), k)
+    """``similar`` over rows that are not published yet: one aggregate validates all of them and fetches the item's vector."""
+    return similar(VectorIndex.publish(rows.select("id", "embedding"), dimension, item=item), item, k, visible)

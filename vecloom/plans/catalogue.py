@@ -75,7 +75,7 @@ def similar_topk(spark, d):
 )
 def search_batch_topk(spark, d):
     rows = index(spark, d)
-    return search.batch_top(rows.select("id", "embedding"), rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
+    return search.batch_top(rows.select("id", "embedding"), rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10, D)
 
 
 @query(f"{SCORED} {RANKED.format('WHERE id IN (SELECT doc_id FROM labels)', DEFAULT_K)}")
@@ -144,6 +144,67 @@ def float16_agreement(spark, d):
     return both.agg((F.max(F.abs(F.col("exact") - F.col("score"))) <= 2e-3).alias("agrees"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('missing item', 'referencePhotoMissing'), ('not finite', 'nonFiniteVector'), ('short', 'dimensionMismatch'), ('sound', 'accepted'), ('zero', 'zeroNormVector'), ('zero, not visible', 'zeroNormVector'), ('batch, short', 'dimensionMismatch')) t(rows, outcome)")
+def search_refuses_invalid(spark, d):
+    """One invalid row, wherever it stands, fails every search."""
+    rows = index(spark, d).select("id", "embedding")
+    broken = lambda k: damaged(spark, d).where(F.col("id") % 50 == k).limit(1).unionByName(rows.where("id % 50 > 4"))
+    seen = rows.where("id % 50 = 7").select("id")
+    cases = {
+        "sound": lambda: search.item_query(rows, 0, D),
+        "missing item": lambda: search.item_query(rows, -1, D),
+        "zero": lambda: search.item_query(broken(0), 7, D),
+        "zero, not visible": lambda: search.item_query(broken(0), 7, D, visible=seen),
+        "not finite": lambda: search.item_query(broken(1), 7, D),
+        "short": lambda: search.item_query(broken(2), 7, D),
+        "batch, short": lambda: search.batch_top(broken(2), rows.where("id = 7").select(F.col("id").alias("query_id"), "embedding"), 3, D),
+    }
+    out = []
+    for name, run in cases.items():
+        try:
+            run()
+            out.append((name, "accepted"))
+        except EngineError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out, "rows string, outcome string")
+
+
+def against(spark, built, rows, item_vector) -> DataFrame:
+    """id, agrees: all that a packed index holds, and whether each score is that of the row expected there."""
+    held = built.search({"q": item_vector}, 1 << 30).select("id", F.col("score").alias("half"))
+    exact = search.score(search.VectorIndex(rows, D), item_vector)
+    return held.join(exact, "id", "left").select("id", F.coalesce(F.abs(F.col("half") - F.col("score")) <= 2e-3, F.lit(False)).alias("agrees"))
+
+
+@query("SELECT vec_id AS id, true AS agrees FROM embeddings UNION ALL SELECT -vec_id, true FROM embeddings WHERE label = 3 AND vec_id > 0")
+def packed_upsert(spark, d):
+    """Label 3's vectors are turned round, under their ids and as new items."""
+    rows = index(spark, d)
+    q = search.VectorIndex(rows, D).vector_of(0)
+    turned = rows.where("label = 3").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    more = turned.unionByName(turned.where("id > 0").withColumn("id", -F.col("id")))
+    built = packed.PackedIndex.build(rows.select("id", "embedding"), D).upsert(more)
+    want = rows.where("label <> 3").select("id", "embedding").unionByName(more)
+    return against(spark, built, want, q)
+
+
+@query("SELECT vec_id AS id, true AS agrees FROM embeddings WHERE label <> 3")
+def packed_remove(spark, d):
+    rows = index(spark, d)
+    q = search.VectorIndex(rows, D).vector_of(0)
+    gone = rows.where("label = 3").select("id").unionByName(spark.range(-5, 0).select("id"))
+    built = packed.PackedIndex.build(rows.select("id", "embedding"), D).remove(gone)
+    return against(spark, built, rows.select("id", "embedding"), q)
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label = 3 AND vec_id IN (SELECT doc_id FROM labels)")
+def search_results_pruned(spark, d):
+    """Results published before the library changed, cut down to what it still has."""
+    rows = index(spark, d)
+    published = rows.where("label = 3").select("id", F.lit(1.0).alias("score"))
+    return search.visible_only(published, table(spark, d, "labels").select(F.col("doc_id").alias("id"))).select("id")
+
+
 # vector functions
 
 
@@ -258,8 +319,13 @@ def store_compaction_equivalence(spark, d):
     return both.agg(F.count("a").alias("live"), F.count("b").alias("compacted"), F.every(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("same"))
 
 
+def store_folder(spark) -> str:
+    """A new folder for a store, on whatever file system the shared folder is."""
+    return Scratch(spark, "store").root
+
+
 def local_folder(spark) -> str:
-    """A folder for the transactional store: it must be a mounted path; the warehouse is on a cluster."""
+    """A new mounted folder, for what the driver keeps or a Python data source writes: the shared one if it is mounted."""
     from vecloom.runtime import shared_folder
 
     base = shared_folder(spark).removeprefix("file://").removeprefix("file:")
@@ -275,7 +341,7 @@ def named(rows: DataFrame) -> DataFrame:
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(3 AS BIGINT) AS revision FROM embeddings WHERE vec_id % 5 <> 0")
 def store_durable_roundtrip(spark, d):
-    s = store.VectorStore(spark, local_folder(spark), spec.S2.identity, "g1", D)
+    s = store.VectorStore(spark, store_folder(spark), spec.S2.identity, "g1", D)
     rows = named(index(spark, d))
     s.commit(upserts=rows, checkpoint={"complete": False})
     s.commit(deletes=rows.where("cast(id as long) % 5 = 0").select("id"))
@@ -298,7 +364,7 @@ def store_fault_matrix(spark, d):
                 raise EngineError("crash", at)
 
         armed: list[int] = []
-        folder = local_folder(spark)
+        folder = store_folder(spark)
         s = store.VectorStore(spark, folder, spec.S2.identity, "g1", D, fault=fault)
         s.commit(upserts=rows.where("cast(id as long) % 2 = 0"))
         armed.append(1)
@@ -377,6 +443,13 @@ def sync_reconcile(spark, d):
     return store_log.delete(store_log.delete(rows, sync.deletions(now, rows, "full")), edits)
 
 
+@query(f"SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels) AND vec_id NOT IN (SELECT l.id FROM ({VERSIONS.format('purchase')}) l JOIN ({VERSIONS.format('signup')}) k ON l.id = k.id WHERE l.version <> k.version)")
+def index_rows_deleted(spark, d):
+    """Rows of items that were edited or are gone are deleted from the index itself."""
+    now = library(spark, d).join(versions(spark, d, "purchase"), "id", "left")
+    return sync.reconcile(index(spark, d).select("id"), now, versions(spark, d, "signup"), "full")
+
+
 @query("SELECT fragment_no, batch_no, count(*) AS items, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, CAST(floor(pos / 100) AS BIGINT) AS fragment_no, CAST(floor((pos % 100) / 32) AS BIGINT) AS batch_no FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)) GROUP BY 1, 2")
 def batch_plan(spark, d):
     return sync.batch_plan(index(spark, d))
@@ -390,7 +463,7 @@ def stream_sync_final_state(spark, d):
     src = scratch.path("changes")
     log = changes(spark, d).select("seq", "op", F.col("id").cast("string").alias("id"))
     log.repartitionByRange(3, "seq").write.parquet(src)
-    s = store.VectorStore(spark, local_folder(spark), spec.S2.identity, "g1", 2)
+    s = store.VectorStore(spark, store_folder(spark), spec.S2.identity, "g1", 2)
     s.commit(checkpoint={"batch_id": -1})
     vectors = lambda df: df.select("id", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias("embedding"))
     source = spark.readStream.schema("seq long, op string, id string").parquet(src)
@@ -487,7 +560,10 @@ def tokenize_min_count(spark, d):
 )
 def tokenize_fixed_context(spark, d):
     tokenizer.require_specials(SMALL)
-    f = prompt_tokens(spark, d).select("id", text.fixed_context(F.col("t"), 77).alias("f"))
+    # a word is a token at least, so words beyond the context cannot reach it
+    words = F.slice(text.split_words(text.basic_clean(F.col("text"))), 1, 77)
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.with_markers(tokenizer.encode_words(words, {})).alias("t"))
+    f = t.select("id", text.fixed_context(F.col("t"), 77).alias("f"))
     ids = F.transform(tokenizer.token_ids(F.col("f"), SMALL), lambda x: x.cast("string"))
     return f.select("id", F.size("f").alias("n"), F.md5(F.concat_ws(",", ids).cast("binary")).alias("ids"))
 
@@ -499,9 +575,16 @@ def token_decode(spark, d):
     return t.select("id", F.md5(text.decode(F.col("t")).cast("binary")).alias("decoded"))
 
 
-@query()
+MERGES = ["t h", "th e</w>", "i n", "e r", "a n", "an d</w>"]
+# in SQL a token stands between two marks, and merges whose parts are older apply one after another
+MARKED = f"array_to_string(list_transform({BODY}, lambda t: chr(1) || t || chr(2)), '')"
+for _a, _b in (m.split() for m in MERGES):
+    MARKED = f"replace({MARKED}, chr(1) || '{_a}' || chr(2) || chr(1) || '{_b}' || chr(2), chr(1) || '{_a}{_b}' || chr(2))"
+
+
+@query(f"WITH m AS (SELECT item_id AS id, {MARKED} AS m FROM benchmark) SELECT id, CAST(length(m) - length(replace(m, chr(1), '')) AS INTEGER) AS n, replace(replace(replace(m, chr(2) || chr(1), ' '), chr(1), ''), chr(2), '') AS tokens FROM m")
 def bpe_encode(spark, d):
-    ranks = tokenizer.read_merges(["#version", "t h", "th e</w>", "i n", "e r", "a n", "an d</w>"])
+    ranks = tokenizer.read_merges(["#version", *MERGES])
     w = tokenizer.encode_words(text.split_words(text.basic_clean(F.col("text"))), ranks)
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.size(w).alias("n"), F.concat_ws(" ", w).alias("tokens"))
 
@@ -651,6 +734,53 @@ def bench_required_metrics(spark, d):
     return benchmarks.missing_metrics(rows([n for n in need if n != "search_1000"] + ["views"]), rows(need))
 
 
+@query("SELECT * FROM (VALUES ('faster', 'search -50.0 false'), ('slower', 'search +20.0 true'), ('just over', 'search +15.0 true'), ('other machine', 'notComparable'), ('other metrics', 'metricsDiffer'), ('zero time', 'invalidTiming'), ('hot', 'thermalPressure'), ('unfinished', 'incompleteReport')) t(report, outcome)")
+def bench_report_rules(spark, d):
+    """Reports that may not be compared are refused by name; the limit holds before rounding."""
+
+    def report(ms=10.0, metric="search", **more):
+        return {"schema": 1, "status": "complete", "key": {"hardware": "a"}, "thermalStates": ["nominal"], "metrics": {metric: {"samples": [ms]}}, **more}
+
+    cases = {"faster": report(5.0), "slower": report(12.0), "just over": report(11.5000000004), "other machine": report(key={"hardware": "b"}), "other metrics": report(metric="views"), "zero time": report(0.0), "hot": report(thermalStates=["serious"]), "unfinished": report(status="running")}
+    out = []
+    for name, r in cases.items():
+        try:
+            x = benchmarks.compare_reports(spark, report(), r, ["search"], 15).first()
+            out.append((name, f"{x['metric']} {x['change_percent']:+.1f} {str(x['regression']).lower()}"))
+        except EngineError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out, "report string, outcome string")
+
+
+@query(f"{CROSS} SELECT '| ' || metric || ' | +20.0 % | slower |' AS line FROM a UNION ALL SELECT * FROM (VALUES ('| metric | change | verdict |'), ('|-|-|-|'))")
+def bench_report_written(spark, d):
+    base = benchmarks.cross_run(samples(spark, d)).select("metric", "median")
+    place = Scratch(spark, "report").root
+    benchmarks.write_report(benchmarks.compare(base, base.withColumn("median", F.col("median") * 1.2), 15), place)
+    return spark.read.text(f"{place}/summary").select(F.col("value").alias("line"))
+
+
+@query("SELECT * FROM (VALUES ('sound', 'invalidTransition', true), ('damaged', 'set aside', false), ('other version', 'set aside', false)) t(state, outcome, active)")
+def coordinator_quarantine(spark, d):
+    """Only a state that cannot be read is set aside."""
+    out = []
+    for name in ("sound", "damaged", "other version"):
+        folder = local_folder(spark)
+        c = coordinator.Coordinator(folder)
+        c.adopt(coordinator.Reference("m", "i", "h", "g0"))
+        if name == "damaged":
+            c.path.write_bytes(c.path.read_bytes()[:-9])
+        if name == "other version":
+            c.path.write_bytes(durable.seal(durable.unseal(c.path.read_bytes()) | {"version": 2}))
+        try:
+            coordinator.Coordinator.quarantine(folder)
+            outcome = "set aside"
+        except EngineError as e:
+            outcome = e.code
+        out.append((name, outcome, coordinator.Coordinator(folder).state.active is not None))
+    return spark.createDataFrame(out, "state string, outcome string, active boolean")
+
+
 @query("SELECT array_to_string(list_sort(list(DISTINCT event_type)), ',') AS states FROM events")
 def bench_state_set(spark, d):
     return table(spark, d, "events").agg(F.concat_ws(",", F.sort_array(F.collect_set("event_type"))).alias("states"))

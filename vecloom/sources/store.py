@@ -1,25 +1,23 @@
 """A crash-safe, versioned vector store: Parquet segments under one checksummed manifest.
 
-A commit writes its rows as Parquet (executors), digests the files, then swaps the manifest (driver); the
-rename of the manifest is the one moment from which readers see it. Readers follow the manifest only, so
-whatever else lies in the folder is harmless and goes at the next commit. The folder must be one that the
-driver and the executors share.
+A commit writes its rows as Parquet once, checks the rows that were written, has tasks digest the files, then
+swaps the manifest; the rename of the manifest is the one moment from which readers see it. Readers follow the
+manifest only, so whatever else lies in the folder is harmless and goes at the next commit. The folder can be
+on any file system that Spark reads and whose rename is one step; the driver itself reads only the manifest.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import text, vector
 from vecloom.operators import store_log
-from vecloom.sources.durable import replace, seal, sync_folder, unseal
+from vecloom.sources.durable import seal, unseal
+from vecloom.sources.files import Files
 from vecloom.types import COMPACT_OVER, EngineError
 
 BOUNDARIES = ("segmentWritten", "segmentSynced", "segmentVerified", "segmentFolderSynced", "manifestWritten", "manifestRenamed", "directorySynced", "cleanupFinished")
@@ -30,41 +28,42 @@ class VectorStore:
     def __init__(self, spark: SparkSession, root: str, identity: str, generation: str, dimension: int, storage: str = "float32", normalization: str = "l2", fault=None):
         self.spark, self.identity, self.generation, self.dimension = spark, identity, generation, dimension
         self.storage, self.normalization, self.fault = storage, normalization, fault or (lambda at: None)
-        self.folder = Path(root) / hashlib.sha256(identity.encode()).hexdigest()[:16] / generation
-        self.manifest_path = self.folder / "manifest.json"
+        self.files = Files(spark)
+        self.folder = f"{root.rstrip('/')}/{hashlib.sha256(identity.encode()).hexdigest()[:16]}/{generation}"
+        self.segments, self.new, self.manifest_path = (f"{self.folder}/{x}" for x in ("segments", "new", "manifest.json"))
 
     # reading
 
     def manifest(self) -> dict | None:
         """None if the store was never written; errors for another contract or damaged files."""
-        if not self.manifest_path.exists():
-            if (self.folder / "segments").exists() and any((self.folder / "segments").iterdir()) and not (self.folder / "new").exists():
+        if not self.files.exists(self.manifest_path):
+            if self.files.names(self.segments) and not self.files.exists(self.new):
                 raise EngineError("corrupt", "segments without a manifest")
             return None
-        m = unseal(self.manifest_path.read_bytes())
+        m = unseal(self.files.read(self.manifest_path))
         if m.get("identity") != self.identity or m.get("dimension") != self.dimension:
             raise EngineError("incompatible")
         if m.get("generation") != self.generation:
             raise EngineError("staleGeneration")
         return m
 
-    def _digest(self, name: str) -> str:
-        h = hashlib.sha256()
-        for f in sorted((self.folder / "segments" / name).glob("*.parquet")):
-            h.update(f.read_bytes())
-        return h.hexdigest()
-
     def load(self, verify: bool = True) -> tuple[DataFrame, dict] | None:
         """(live rows id, embedding; manifest), or None if missing."""
         m = self.manifest()
         if m is None:
             return None
+        here = set(self.files.names(self.segments))
+        lost = [s["name"] for s in m["segments"] if s["name"] not in here]
+        if lost:
+            raise EngineError("corrupt", lost[0])
+        if verify:
+            now = self.files.digests([f"{self.segments}/{s['name']}" for s in m["segments"]])
+            for s in m["segments"]:
+                if now[s["name"]] != s["digest"]:
+                    raise EngineError("corrupt", s["name"])
         log = None
         for k, s in enumerate(m["segments"]):
-            place = self.folder / "segments" / s["name"]
-            if not place.exists() or (verify and self._digest(s["name"]) != s["digest"]):
-                raise EngineError("corrupt", s["name"])
-            rows = self.spark.read.schema("op string, id string, embedding array<float>").parquet(str(place))
+            rows = self.spark.read.schema("op string, id string, embedding array<float>").parquet(f"{self.segments}/{s['name']}")
             rows = rows.withColumn("seq", F.lit(2 * k) + (F.col("op") == "U").cast("long"))
             log = rows if log is None else log.unionByName(rows)
         if log is None:
@@ -95,37 +94,38 @@ class VectorStore:
             raise EngineError("staleRevision", f"{revision}, not {expect}")
         parts = []
         if deletes is not None:
-            parts.append(deletes.select(F.lit("D").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding")))
+            parts.append(deletes.select(F.lit("D").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(False).alias("bad")))
         if upserts is not None:
-            stored = self._stored(upserts)
-            check = stored.agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
-            if check["bad"]:
-                raise EngineError("invalidRecord", f"{check['bad']} rows")
-            if check["n"] != check["ids"]:
-                raise EngineError("duplicateID")
-            parts.append(stored.select(F.lit("U").alias("op"), "id", "embedding"))
+            parts.append(self._stored(upserts).select(F.lit("U").alias("op"), "id", "embedding", F.coalesce("bad", F.lit(True)).alias("bad")))
         segments = [] if replacing or not old else list(old["segments"])
+        self.files.make(self.segments)
         if parts:
             rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
             name = uuid.uuid4().hex
-            place = self.folder / "segments" / name
-            (self.folder / "segments").mkdir(parents=True, exist_ok=True)
-            (self.folder / "new").touch()
-            rows.sortWithinPartitions("id").write.parquet(str(place))
+            place = f"{self.segments}/{name}"
+            self.files.write(self.new, b"")
+            # the rows are made once, and those that were written are the ones checked
+            rows.sortWithinPartitions("id").write.parquet(place)
             self.fault("segmentWritten")
-            for f in place.iterdir():
-                with f.open("rb") as r:
-                    os.fsync(r.fileno())
+            self.files.sync(place)
             self.fault("segmentSynced")
-            count = self.spark.read.parquet(str(place)).count() if list(place.glob("*.parquet")) else 0
-            segments.append({"name": name, "digest": self._digest(name), "count": count})
+            put = F.col("op") == "U"
+            saved = self.spark.read.schema("op string, id string, embedding array<float>, bad boolean").parquet(place)
+            check = saved.agg(F.count_if("bad").alias("bad"), F.count_if(put).alias("n"), F.count_distinct(F.when(put, F.col("id"))).alias("ids"), F.count(F.lit(1)).alias("rows")).first()
+            if check["bad"] or check["n"] != check["ids"]:
+                self.files.delete(place)
+                raise EngineError("invalidRecord", f"{check['bad']} rows") if check["bad"] else EngineError("duplicateID")
+            segments.append({"name": name, "digest": self.files.digests([place])[name], "count": check["rows"]})
             self.fault("segmentVerified")
-            sync_folder(place.parent)
+            self.files.sync(self.segments)
             self.fault("segmentFolderSynced")
-        else:
-            self.folder.mkdir(parents=True, exist_ok=True)
         m = {"version": 1, "identity": self.identity, "dimension": self.dimension, "generation": self.generation, "revision": revision + 1, "segments": segments, "checkpoint": checkpoint if checkpoint is not None else (old or {}).get("checkpoint")}
-        replace(self.manifest_path, seal(m), self.fault, BOUNDARIES[4:7])
+        self.files.write(f"{self.manifest_path}.tmp", seal(m))
+        self.fault("manifestWritten")
+        self.files.move(f"{self.manifest_path}.tmp", self.manifest_path)
+        self.fault("manifestRenamed")
+        self.files.sync(self.folder)
+        self.fault("directorySynced")
         self.collect_garbage(m)
         self.fault("cleanupFinished")
         return revision + 1
@@ -133,11 +133,10 @@ class VectorStore:
     def collect_garbage(self, m: dict) -> None:
         """Delete what no manifest names; best effort."""
         live = {s["name"] for s in m["segments"]}
-        (self.folder / "new").unlink(missing_ok=True)
-        if (self.folder / "segments").exists():
-            for p in (self.folder / "segments").iterdir():
-                if p.name not in live:
-                    shutil.rmtree(p, ignore_errors=True)
+        self.files.delete(self.new)
+        for name in self.files.names(self.segments):
+            if name not in live:
+                self.files.delete(f"{self.segments}/{name}")
 
     def compact(self) -> int:
         """One segment of the live rows; checkpoint and content stay."""
