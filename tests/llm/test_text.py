@@ -226,6 +226,62 @@ def test_links_in_the_content(spark):
     assert texts(spark, [("a", page.format(i)) for i in range(4)]) == [f"own {i}\nread {i}\nref {i}\nref too {i}" for i in range(4)]
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ('<p class=a">kept text</p>', "kept text"),
+    ("<p title='a>b' data-x=\"class='ad'\">x</p>", "x"),
+    ('<p title="it\'s">x</p><p title=it\'s>y</p>', "x\ny"),
+    ("<a ' href=x>x</a><p \" >y", "x\ny"),
+    ("<p>x</p><p class='never closed>y</p>", "x"),
+    ("<p href=a?b=\"c>d</p>", "d"),
+    ("a < b <3 <p>x", "a < b <3\nx"),
+    ("<article><div class=article-header><h1>Title</h1></div><p>x</p></article>", "Title\nx"),
+    ("<article><div class=legal-notice>about the law</div><div class=social-history>x</div><p class=ad>y</p></article>", "about the law\nx"),
+    ("<div class=legal-notice>law</div><p>x</p>", "x"),
+])
+def test_tags_and_names(html, want):
+    assert alone(html) == want
+
+
+def test_stray_quotes_take_linear_time():
+    import time
+
+    for piece in ('<a "', "<a '", "<a =\"", "<a b='c", "<!--", "<p a=b\"c "):
+        began = time.thread_time()
+        alone(piece * 50_000)
+        assert time.thread_time() - began < 5
+
+
+def test_wrapper_is_merged_over_pages():
+    tree = lambda html: html_extract.Group("#", [html_extract.parse(html)])
+    shape = lambda html: json.dumps(tree(html).shape())
+    pages = ["<body><div>m</div><p>1</p><div>f</div>", "<body><div>m</div><h4>n</h4><p>1</p><div>f</div>", "<body><div>m</div><p>1</p><ul><li>x</ul><div>f</div>"]
+    found = html_extract.induced([shape(p) for p in pages])
+    whole = tree("<body><div>m</div><h4>n</h4><p>1</p><ul><li>x</ul><div>f</div>")
+    assert found == [whole.shape()]
+    slots = [html_extract.aligned(tree(p), html_extract.Layouts(found)) for p in pages]
+    assert all(slot >= 0 for found_ in slots for slot, _ in found_.values())
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_hosts_with_ids_of_their_own(spark, monkeypatch, marks):
+    """Generated hosts whose nodes bear ids and numbered classes of each page: what is constant goes, what varies stays."""
+    if not marks:
+        monkeypatch.setattr(html_extract, "MARKS", __import__("re").compile(r"(?!)"))
+    rng = random.Random(11)
+    pages, want = [], []
+    for host in range(6):
+        top, foot, note = f"Shop {host}", f"Imprint {host}", f"Sale {host}"
+        for page in range(9):
+            own = [f"own {host} {page} {k}" for k in range(rng.randint(1, 4))]
+            body = "".join(f"<p id=p{page}x{k}>{t}</p>" for k, t in enumerate(own))
+            extra = f"<h4 id=n{page}>{note}</h4>" if rng.random() < 0.5 else ""
+            pages.append((f"h{host}", f"<body class='page-{page}'><div id='top{page}' class='top post-{page}'>{top}</div>{extra}<section id=s{page}><h2>Title {host} {page}</h2>{body}</section><div id=f{page}>{foot}</div>"))
+            want.append("\n".join([f"Title {host} {page}", *own]))
+    got = texts(spark, pages)
+    assert sum(a == b for a, b in zip(got, want)) >= len(want) - 3  # a note on under three pages of a host is no template
+    assert all("Shop" not in g and "Imprint" not in g for g in got)
+
+
 @pytest.mark.parametrize("tags", [["div"], ["blockquote", "ul", "li"], ["div", "p"]])
 def test_deep_pages(spark, tags):
     names = [tags[i % len(tags)] for i in range(5000)]

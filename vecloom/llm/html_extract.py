@@ -1,27 +1,32 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of block elements in which neighbouring siblings with one label are a group. The most
-frequent trees of a host that are unlike each other outside articles are its wrappers, one for a layout (of
-its 64 most frequent trees, 8 at most; other pages go to the wrapper most like them); each page's tree is
-aligned with its wrapper by simple tree matching (the largest order- and parent-preserving match of equal
-labels), and nodes that the wrapper lacks are told by their path of labels, so that constant blocks of any
-page can be seen. A wrapper node whose text is the same on most
-pages of the host is template; slots whose text varies are content. Copies of a page speak once: texts are
-counted over distinct contents (the article's text, or all text of a page without one), so that a text is
-template only beside text that varies, and every page that has the node counts, alone in its run or not.
-An article of which only headings would be left is returned whole. Slots that pages vary but that are not
-the article go by their element, class, id or role (menus, headers, footers, asides, forms, adverts,
-notices, reader comments; whole class names, never those of html, body, main, article or a node around the
-main article, see ``marked`` and ``spare``) or, outside an article element, by
-being mostly links in a slot that is a run of such siblings on most pages of the host, some the same on most. Groups of siblings inside
-the article vary in number and text by nature and always are content.
+Pages become trees of block elements in which neighbouring siblings with one label (element, role and classes
+without digits; ids name one node of one page) are a group. The trees of a host that are unlike each other
+outside articles are its wrappers, one for a layout (of its 64 most frequent trees, 8 at most); every other of
+these trees is merged, by simple tree matching (the largest order- and parent-preserving match of equal labels),
+into the wrapper most like it, whose nodes it lacks and which lacks some of its own: those become optional
+nodes. Each page's tree is then aligned with its wrapper in the same way; nodes that the wrapper lacks are told
+by their path of labels, so that constant blocks of any page can be seen.
+
+A wrapper node whose text is the same on most pages of the host is template; slots whose text varies are
+content. Copies of a page speak once: texts are counted over distinct contents (the article's text, or all text
+of a page without one), so that a text is template only beside text that varies, and every page that has the
+node counts, alone in its run or not. An article of which only headings would be left is returned whole. Groups
+of siblings inside the article vary in number and text by nature and always are content.
+
+Alignment cannot tell an article from other text that varies. What the article element (or main) holds comes
+before the rest, if a page has one; menus, footers, asides and forms go by their element or role; outside an
+article, blocks of mostly links go in a slot that is a run of such siblings on most pages of the host, some the
+same on most. Class and id names decide last and least: whole names only, never those of html, body, main,
+article or a node around the main article, and inside an article only names of adverts, reader comments, share
+buttons, teasers and the like (see ``marked``, ``spare``).
 
 Statistics of templates are counts over all distinct contents of a host; a host with a third of all pages is
-counted in parts by content first, and the wrappers (small trees) are joined by broadcast up to a checked
-number of them and beyond it by a salted join.
+counted in parts by content first, and the wrappers (small trees) are joined by broadcast up to 32 MB, which
+are checked, and beyond that by a salted join.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined in page order by a line break; a ``br`` is white space.
+and joined in page order by a line break; a ``br`` is white space. Tags follow HTML: quotes count only behind =, an unclosed tag or quoted value runs to the end.
 
 Edge cases: null or empty html, or a page without content, gives the empty text; a null or odd url belongs
 to the host ''; broken nesting is repaired the usual way (a block start ends an open paragraph; end tags
@@ -44,8 +49,9 @@ from pyspark.sql import functions as F
 from vecloom.llm.textkit import strings
 from vecloom.runtime import Scratch, ship, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag ends at the first > outside a quoted value; quotes count only behind =, and nothing here is tried twice.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?+""")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul button select option label template svg object video audio canvas".split())
@@ -53,11 +59,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"html", "body", "table", "ul", "ol", "dl", "div", "article", "section", "main", "nav", "aside", "blockquote"}
 NEVER = {"head", "nav", "aside", "footer", "form", "button", "select", "option", "label", "fieldset", "template", "svg", "object", "video", "audio", "canvas", "menu", "dialog", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+DIGIT = re.compile(r"\d")
 MARKS = re.compile(
     r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?|consent|notice|notification|alert|popup|modal|overlay|comments?|replies|respond|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|toolbar|copyright|legal|disclaimer)\d*",
     re.I,
 )
 PLACES = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "area", "list", "box", "container", "wrapper", "wrap", "bar", "links"}
+#: Marks that say nothing of a block inside an article, where text can be about them.
+OUTER = re.compile(r"(?:banner|masthead|header|footer|side|sidebar|widget|notice|notification|alert|popup|modal|overlay|toolbar|copyright|legal|disclaimer)\d*", re.I)
 OTHERS = re.compile(r"comments?|replies|respond|disqus|discussion|related|recommended", re.I)
 ARTICLE = re.compile(r"(?:article|main)(?:$|[.@])|.*@main$", re.S)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -66,7 +75,7 @@ LEAST_PAGES, SHARE = 3, 0.6
 DEEP = 100
 #: Trees of a host that are looked at for layouts, the most layouts of a host, and the likeness that makes one layout of two trees.
 SHAPES, LAYOUTS, ALIKE = 64, 8, 0.6
-BROADCAST_LAYOUTS = 20_000
+BROADCAST_BYTES = 32 << 20
 SALT = 32
 
 
@@ -144,15 +153,15 @@ def parse(html: str) -> Node:
             if walk.tag == "p" or (shut and walk.tag in shut):
                 at, links = walk.parent, 0
             walk = walk.parent
-        mark, role = "", ""
+        said: dict[str, str] = {}
         for a in ATTRIBUTE.finditer(m[3]) if m[3] else ():
-            value = a[2] or a[3] or a[4] or ""
-            if a[1].lower() == "role":
-                role = value.strip().lower()
-            else:
-                mark += f" {value}"
+            if a[1].lower() in ("class", "id", "role"):
+                said.setdefault(a[1].lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
+        role, mark = said.get("role", "").strip().lower(), f"{said.get('class', '')} {said.get('id', '')}".strip()
+        # ids, and classes with digits, name one node of one page: labels are without them
+        kinds = sorted(c for c in said.get("class", "").split() if not DIGIT.search(c))
         off = tag in NEVER or role in ROLES or (tag == "header" and not at.inside)
-        node = Node(tag, f"{tag}{'.' + ' '.join(sorted(mark.split())) if mark else ''}{'@' + role if role else ''}", at, off)
+        node = Node(tag, f"{tag}{'.' + ' '.join(kinds) if kinds else ''}{'@' + role if role else ''}", at, off)
         if mark and tag not in ("html", "body") and not is_article(node):
             node.mark = marked(mark, at)
             signs = signs or bool(node.mark)
@@ -183,7 +192,7 @@ def marked(names: str, at: Node) -> str:
     for name in names.split():
         parts = [p for p in re.split(r"[_-]+", name) if p]
         if any(MARKS.fullmatch(p) for p in parts) and all(p.lower() in PLACES or MARKS.fullmatch(p) for p in parts):
-            if name.lower() != "header" or not at.inside:
+            if not at.inside or any(MARKS.fullmatch(p) and not OUTER.fullmatch(p) for p in parts):
                 found.append(name)
     return " ".join(found)
 
@@ -273,17 +282,39 @@ class Layouts:
         return -self.nearest(page.outline())[1] if len(self.shapes) > 1 else 0
 
 
+def merge(tree: Group, wrapper: list) -> None:
+    """Generalise a wrapper by a tree: nodes that only the tree has become optional nodes of the wrapper, in their place.
+
+    The inside of articles varies by nature and is left as it is.
+    """
+    pairs = match(tree, wrapper)[1]
+    known = {id(g): w for g, w in pairs}
+    for g, w in pairs:
+        if ARTICLE.match(g.label):
+            continue
+        at = 0
+        for c in g.children:
+            if id(c) in known:
+                at = next(k for k, x in enumerate(w[1]) if x is known[id(c)]) + 1
+            else:
+                w[1].insert(at, c.shape())
+                at += 1
+
+
 def induced(shapes: list[str]) -> list[list]:
-    """The wrappers of a host's trees, most frequent first: each tree unlike all wrappers before it is one more."""
+    """The wrappers of a host's trees, most frequent first: each tree is merged into the wrapper most like it, and one
+    that is unlike all wrappers before it is one more."""
     found = Layouts([])
     for text in shapes:
         shape = json.loads(text)
         outline = grown(shape).outline()
-        if found.nearest(outline)[0] < ALIKE:
+        near, which = found.nearest(outline)
+        if near < ALIKE and len(found.shapes) < LAYOUTS:
             found.shapes.append(shape)
             found.outlines.append(outline)
-        if len(found.shapes) == LAYOUTS:
-            break
+        elif near >= ALIKE:
+            merge(grown(shape), found.shapes[-which])
+            found.outlines[-which] = grown(found.shapes[-which]).outline()
     return found.shapes
 
 
@@ -450,9 +481,10 @@ def extract(html: str, layouts: Layouts, template: set[tuple[int, int]]) -> str:
     return "\n".join(b[0] for b in kept)
 
 
-def _with_small(pages: DataFrame, small: DataFrame, layouts: int) -> DataFrame:
-    """Left join by host of all pages with one row per host."""
-    if layouts <= BROADCAST_LAYOUTS:
+def _with_small(pages: DataFrame, small: DataFrame) -> DataFrame:
+    """Left join by host of all pages with one row per host: by broadcast up to a checked size."""
+    size = F.octet_length("wrapper") + (F.lit(16) * F.greatest(F.size("fixed"), F.lit(0)) if "fixed" in small.columns else F.lit(0)) + 64
+    if small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         return pages.join(F.broadcast(small), "host", "left")
     spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(spread, ["host", "salt"], "left").drop("salt")
@@ -484,7 +516,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     top = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "shape"))).alias("top"))
     wrappers = top.mapInArrow(induce, "host string, wrapper string, layouts int").join(counted.groupBy("host").agg(F.sum("n").alias("pages")), "host")
     wrappers = scratch.save(wrappers, "wrappers")
-    layouts = wrappers.agg(F.coalesce(F.sum("layouts"), F.lit(0))).first()[0]
 
     def observe(batches):
         known = Wrappers()
@@ -497,7 +528,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "digest", "said"])
 
     # a host needs LEAST_PAGES pages before anything on it can be a template
-    told = _with_small(rows.select("host", "page_id", "html"), wrappers, layouts).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node long, digest long, said long")
+    told = _with_small(rows.select("host", "page_id", "html"), wrappers).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper").mapInArrow(observe, "host string, node long, digest long, said long")
     sums = told.groupBy("host", "node", "digest").agg(F.count_distinct("said").alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("digest").isNull())
     sums = scratch.save(sums, "sums")
     whole = sums.where("digest IS NULL").select("host", "node", F.col("n").alias("all"))
@@ -513,7 +544,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [extract(t, known.get(w), {(x["node"], x["digest"]) for x in f or ()}) for t, w, f in zip(strings(part.column("html")), part.column("wrapper").to_pylist(), part.column("fixed").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return _with_small(rows, small, layouts).select("page_id", "url", "html", "wrapper", "fixed").mapInArrow(take, "page_id long, url string, text string, n_chars long")
+    return _with_small(rows, small).select("page_id", "url", "html", "wrapper", "fixed").mapInArrow(take, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:
