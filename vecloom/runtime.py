@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+FORGET_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,7 +66,16 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write a table and read it; what its making shuffled is deleted at once, since the table stands for it now."""
+        before = self.spark.conf.get(FORGET_SHUFFLES, None)
+        self.spark.conf.set(FORGET_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(FORGET_SHUFFLES)
+            else:
+                self.spark.conf.set(FORGET_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
