@@ -86,6 +86,7 @@ def test_spans_against_brute_force(spark, monkeypatch, hot, bucket):
         parts = [rng.choice(passages)[rng.randint(0, 30) : rng.randint(40, 120)] if rng.random() < 0.4 else "".join(word() for _ in range(12)) for _ in range(4)]
         rows.append((i, "".join(parts)))
     rows += [(500, "a" * 400), (501, "b" * 20 + "a" * 90), (502, "xy" * 100), (503, "yx" * 60), (504, None), (505, ""), (506, "q" * 49), (507, "q" * 50), (507, "q" * 50), (508, "q" * 51), (None, "a" * 60)]
+    rows += [(600 + i, "copy of a text " * 9) for i in range(5)] + [(600, "copy of a text " * 9), (None, "copy of a text " * 9), (None, "z" * 70), (None, "z" * 70), (700, "short one"), (701, "short one")]
     df = spark.createDataFrame([(i, t, "en", None) for i, t in rows], DOCS).repartition(4)
     last = suffix_dedup.LAST
     want = brute_spans([(last if i is None else i, (t or "").encode()) for i, t in rows])

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.components import components
-from vecloom.llm.textkit import BASE, U, forget, groups, mix, release, slices, strings, words
+from vecloom.llm.textkit import BASE, U, fresh, groups, mix, release, slices, strings, words
 from vecloom.runtime import Scratch, ship, table
 
 WORDS = 5
@@ -145,14 +145,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least) / float(total - least) if total else 0.0
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` lacks (Spark does not tell upper from lower case)."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _sign(batches):
     for b in batches:
         for part in slices(b, "text", 1 << 19):
@@ -297,7 +289,6 @@ def _members(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     entries = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     sized = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.save(entries.join(sized, "bucket"), "members")
-    forget(spark)
     known = members.groupBy("node").agg(F.sum("n").alias("shared"))
     centres = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("shared", "node"))["node"].alias("centre"))
     wanted = members.select("node").distinct()
@@ -334,7 +325,6 @@ def _members(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     member = member.join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "id", F.col("d1").isNotNull().alias("has"), F.coalesce("component", "rep").alias("component"))
     member = scratch.save(member, "member")
     scratch.drop("signed", "texts", "members", "where", "open", "units", "weights", "reps", "classes", "star", "whole", "cross", "first-out", "second-out")
-    forget(spark)
     return member
 
 

@@ -17,6 +17,9 @@ bucket pointers of the suffixes some places on, until strings in one bucket agre
   pointers mean equal bytes: digests choose candidates, bytes decide.
 * The smallest doc_id of each last bucket says which strings go; the reply is a bit for each string of a run.
 
+Copies come first: of rows with equal texts (SHA-256) only those with the smallest id are searched, the others
+lose every byte, so a group of copies of any size is a row.
+
 Everything travels as plain rows: one of 17 bytes for each entry (about one for 13 bytes of text), one for
 each distinct run of a shared bucket in a block, one for each of those that loses a string. Their number grows
 with the input, and a passage that a third of all documents share is one row for each block of 2 MB. Keys that
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from vecloom.llm.textkit import BASE, BYTE, U, forget, mix, release
+from vecloom.llm.textkit import BASE, BYTE, U, fresh, mix, release
 from vecloom.runtime import Scratch, ship, shuffle_partitions, table
 from vecloom.types import EngineError
 
@@ -53,6 +56,7 @@ BLOCK_BYTES = 2 << 20
 #: Text whose entries make one group of buckets, which is refined at a time.
 BUCKET_BYTES = 2 << 20
 HOT = 4096
+LARGEST_BROADCAST = 200_000
 CHUNK = 1 << 18
 LAST = np.iinfo(np.int64).max
 
@@ -325,16 +329,32 @@ def refine_bucket(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table({"block": block[told], "rec": rec[told], "bits": bits[told].view(np.int32)}, schema=REPLY)
 
 
+def split_copies(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows to search, and rows that are copies of a text of at least 50 bytes with a smaller id: all of their bytes go."""
+    sha, first = fresh(docs, "sha"), fresh(docs, "first")
+    text = F.col(f"`{text_col}`")
+    digest = F.when(F.octet_length(text) >= LENGTH, F.unhex(F.sha2(text.cast("binary"), 256)))
+    known = docs.select(digest.alias(sha), F.col(f"`{id_col}`").alias(first)).where(F.col(sha).isNotNull()).groupBy(sha).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias(first))
+    known = scratch.save(known.where("n > 1").drop("n"), "copies")
+    few = known.limit(LARGEST_BROADCAST + 1).count() <= LARGEST_BROADCAST
+    told = docs.withColumn(sha, digest).join(F.broadcast(known) if few else known, sha, "left")
+    copy = F.col(first).isNotNull() & ~F.col(f"`{id_col}`").eqNullSafe(F.col(first))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return told.where(~copy).select(*columns), told.where(copy).select(*columns)
+
+
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    """Run the rounds; ``finish(table, texts, masks)`` makes a block's result, masks being None where nothing goes."""
+def check_ids(docs: DataFrame, id_col: str) -> None:
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise EngineError("unsupportedID", f"{id_col} is {docs.schema[id_col].dataType.simpleString()}")
+
+
+def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str, scratch: Scratch) -> DataFrame:
+    """Run the rounds; ``finish(table, texts, masks)`` makes a block's result, masks being None where nothing goes."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = Scratch(spark, "suffix-dedup")
     blocks = scratch.save(pack_blocks(docs, text_col), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     cuts = bucket_cuts(max(shuffle_partitions(spark), -(-total // BUCKET_BYTES)))
@@ -352,7 +372,6 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
     salts = F.ceil(F.col("n") / HOT).cast("int")
     first = shared.groupBy("block").agg(F.collect_list("key").alias("first"), F.collect_list(F.when(salts > 1, F.col("key"))).alias("hot"), F.collect_list(F.when(salts > 1, salts)).alias("salts"))
     first = scratch.save(first, "first")
-    forget(spark)
 
     def contexts(batches):
         for b in batches:
@@ -381,7 +400,6 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) ->
     second = told.groupBy("group").applyInArrow(refine_bucket, "block long, rec int, bits int")
     second = scratch.save(second.groupBy("block").agg(F.collect_list("rec").alias("rec"), F.collect_list("bits").alias("bits")), "second")
     scratch.drop("told")
-    forget(spark)
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,8 +439,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cols = [t.column(id_col).combine_chunks(), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = docs.select(id_col, text_col)
-    return _passes(rows, id_col, text_col, finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {DIGEST}")
+    check_ids(docs, id_col)
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    rows, copies = split_copies(docs.select(id_col, text_col), id_col, text_col, scratch)
+    size = F.octet_length(text_col).cast("long")
+    whole = copies.select(id_col, size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
+    found = _passes(rows, id_col, text_col, finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {DIGEST}", scratch)
+    return found.unionAll(whole)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
@@ -438,7 +461,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols[size_col] = pa.array([None if x is None else len(x) for x in new], pa.int64()).cast(t.schema.field(size_col).type)
         yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
 
-    return _passes(docs, id_col, text_col, finish, docs.schema)
+    check_ids(docs, id_col)
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    rows, copies = split_copies(docs, id_col, text_col, scratch)
+    cut = {text_col: F.lit(""), **({size_col: F.lit(0).cast(docs.schema[size_col].dataType)} if size_col else {})}
+    whole = copies.select(*[cut[c].alias(c) if c in cut else F.col(f"`{c}`") for c in docs.columns])
+    return _passes(rows, id_col, text_col, finish, docs.schema, scratch).unionAll(whole)
 
 
 ORACLE = """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,10 +91,12 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def forget(spark) -> None:
-    """Let Spark delete the shuffle files of tables that are saved by now: it does once the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def fresh(docs, name: str) -> str:
+    """A column name that ``docs`` lacks (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
