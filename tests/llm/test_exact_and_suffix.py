@@ -156,3 +156,12 @@ def test_equal_digests_are_compared_by_bytes(monkeypatch):
         for k in range(len(src)):
             assert low[k] == block.doc[runs[rec == k]].min()
     assert len(source) == len(set(whole)) <= len(source2)
+
+
+def test_hot_text_without_ids_and_odd_columns(spark):
+    rows = [(None, "same text", k, k) for k in range(90)] + [(7, "same  text", 90, 90), (1, "other", 91, 91)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row int, row int").repartition(5)
+    got = exact_dedup.exact_groups(df).collect()
+    assert sum(r["kept"] for r in got) == 2 and {(r["keep_id"], r["group_size"]) for r in got} == {(7, 91), (1, 1)}
+    left = exact_dedup.drop_duplicates_exact(df)
+    assert left.columns == df.columns and sorted(r["__row"] for r in left.collect()) == [90, 91]

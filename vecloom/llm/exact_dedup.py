@@ -11,7 +11,7 @@ then settles the whole group. At most 4096 texts can be hot, whatever the size o
 two broadcast tables (hot digests; outcome of each sub-group) have a fixed bound.
 
 Edge cases: an empty table gives an empty result; repeated rows (same doc_id and text) all appear in
-the result and exactly one of them is kept; a null doc_id sorts after every number; other columns of
+the result and exactly one of them is kept; a null doc_id sorts after every number (rows without one are dealt out by their place); other columns of
 the input are ignored here and kept by :func:`drop_duplicates_exact`.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from vecloom.llm.textkit import fresh
 from vecloom.runtime import Scratch, shuffle_partitions
 
 SHARE = 2048
@@ -59,7 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["__lead", "__h", "__salt"]
     dealt = (
         src.join(F.broadcast(hot), "__h", "left")
-        .withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__id"), F.col("__salts")).cast("int"), F.lit(-1)))
+        .withColumn("__salt", F.coalesce(F.pmod(F.coalesce(F.when(F.col("__id").isNotNull(), F.xxhash64("__id")), F.monotonically_increasing_id()), F.col("__salts")).cast("int"), F.lit(-1)))
         .withColumn("__lead", F.substring("__norm", 1, 32))
         .drop("__salts", *(["__norm"] if again is not None else []))
         .repartitionByRange(shuffle_partitions(spark), *key)
@@ -107,9 +108,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_duplicates_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs``, with all their columns as they were."""
-    packed = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = exact_groups(packed, id_col, text_col, ["__row"], F.col("__p_0").getField(text_col)).where("kept")
-    return kept.select("__row.*")
+    row = fresh(docs, "row")
+    packed = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = exact_groups(packed, id_col, text_col, [row], F.col("__p_0").getField(text_col)).where("kept")
+    return kept.select(f"{row}.*")
 
 
 ORACLE = r"""
