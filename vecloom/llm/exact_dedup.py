@@ -90,8 +90,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = (
         parts.where((F.col("__salt") >= 0) & (F.col("__rn") == 1))
         .groupBy("__rep", "__sha")
-        .agg(F.min("__first").alias("__keep"), F.sum("__size").alias("__total"), F.collect_list("__salt").alias("__salts"))
-        .select(F.col("__sha").alias("__of"), "__keep", "__total", F.explode("__salts").alias("__part"))
+        .agg(F.min(F.struct(F.col("__first").isNull().alias("__last"), "__first", "__salt")).alias("__best"), F.sum("__size").alias("__total"), F.collect_list("__salt").alias("__salts"))
+        .select(F.col("__sha").alias("__of"), F.col("__best.__first").alias("__keep"), F.col("__best.__salt").alias("__home"), "__total", F.explode("__salts").alias("__part"))
     )
     # a text has one sub-group of each salt; ids cannot name it, for they may be null or repeated
     joined = parts.drop("__rep").join(F.broadcast(settled), (F.col("__salt") == F.col("__part")) & (F.col("__sha") == F.col("__of")), "left")
@@ -100,7 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("__id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce(F.col("__total"), F.col("__size")).cast("long").alias("group_size"),
-        ((F.col("__rn") == 1) & keep.eqNullSafe(F.col("__id"))).alias("kept"),
+        ((F.col("__rn") == 1) & keep.eqNullSafe(F.col("__id")) & (F.coalesce("__home", "__salt") == F.col("__salt"))).alias("kept"),
         F.col("__sha").alias("text_sha256"),
         *[F.col(f"__p_{i}").alias(c) for i, c in enumerate(payload)],
     )
