@@ -87,6 +87,16 @@ def write_report(compared: DataFrame, folder: str) -> None:
     head.unionByName(body).orderBy("at", "value").select("value").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
 
 
+def source_fingerprint(files: DataFrame) -> DataFrame:
+    """One ``fingerprint`` of source files (name, content binary): equal only for equal names and contents.
+
+    Files are digested where they are read; only names and digests, a few hundred of a checkout, come together.
+    """
+    each = files.select(F.col("name").cast("string").alias("name"), F.sha2("content", 256).alias("digest"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("name", "digest"))), lambda f: F.concat(f["name"], F.lit(":"), f["digest"]))
+    return each.agg(F.sha2(F.concat_ws("\n", lines), 256).alias("fingerprint"))
+
+
 def required_metrics(sizes: list[int], with_search: bool = True) -> list[str]:
     """Names of the measurements that a complete report has."""
     names = ["image_model_load", "image_first_batch", "image_batch", "image_batch_1", "text_model_load", "text_first_query", "text_query"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import ranking, text, tokenizer, vector
-from vecloom.operators import benchmarks, encoders, ordering, packed, parity, search, store_log, sync
+from vecloom.operators import benchmarks, encoders, library as media, ordering, packed, parity, search, store_log, sync
 from vecloom.runtime import Scratch, ship, table
 from vecloom.sources import coordinator, durable, generators, spec, store
 from vecloom.types import DEFAULT_K, TOKEN_FIXTURE, EngineError
@@ -892,3 +892,77 @@ def manifest_seal(spark, d):
     opened = durable.unseal(durable.seal({"states": names}))
     return one(spark, digest=hashlib.md5(",".join(opened["states"]).encode()).hexdigest())
 
+
+@query("SELECT sha256(string_agg(CAST(item_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY CAST(item_id AS VARCHAR))) AS fingerprint FROM benchmark")
+def bench_source_fingerprint(spark, d):
+    return benchmarks.source_fingerprint(table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.col("text").cast("binary").alias("content")))
+
+
+MEDIA = "SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'purchase' THEN 'remove' WHEN 'error' THEN 'delete' ELSE 'removeAll' END AS op, 'src' || CAST(event_id % 4 AS VARCHAR) AS album, event_id % 500 AS id FROM events WHERE event_type IN ('signup', 'purchase', 'error') OR event_id % 997 = 0"
+
+
+@query(
+    f"WITH c AS ({MEDIA}), a AS (SELECT -1 AS seq, source AS album, doc_id AS id FROM documents WHERE source IS NOT NULL UNION ALL SELECT seq, album, id FROM c WHERE op = 'add') "
+    "SELECT DISTINCT album, id FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE op = 'remove' AND c.album = a.album AND c.id = a.id AND c.seq > a.seq) "
+    "AND NOT EXISTS (SELECT 1 FROM c WHERE op = 'removeAll' AND c.album = a.album AND c.seq > a.seq) AND NOT EXISTS (SELECT 1 FROM c WHERE op = 'delete' AND c.id = a.id AND c.seq > a.seq)"
+)
+def library_album_changes(spark, d):
+    e = table(spark, d, "events")
+    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "purchase", "remove").when(F.col("event_type") == "error", "delete").when(F.col("event_id") % 997 == 0, "removeAll")
+    album = F.concat(F.lit("src"), (F.col("event_id") % 4).cast("string"))
+    log = e.select(F.col("event_id").alias("seq"), op.alias("op"), album.alias("album"), (F.col("event_id") % 500).alias("id")).where("op IS NOT NULL")
+    now = table(spark, d, "documents").select(F.col("source").alias("album"), F.col("doc_id").alias("id"))
+    known = spark.createDataFrame([(f"src{k}",) for k in range(4)], "album string")
+    return media.members(now, known, log)
+
+
+@query(
+    "WITH f AS (SELECT event_id % 500 AS id, arg_max(event_type, event_id) AS op FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1) "
+    "SELECT doc_id AS id, coalesce(op = 'signup', false) AS favourite FROM documents LEFT JOIN f ON id = doc_id WHERE doc_id NOT IN (SELECT event_id % 500 FROM events WHERE event_type = 'error' AND event_id % 3 = 0)"
+)
+def library_favourites(spark, d):
+    e = table(spark, d, "events")
+    op = F.when(F.col("event_type") == "signup", "favour").when(F.col("event_type") == "purchase", "unfavour").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "delete")
+    log = e.select(F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 500).alias("id")).where("op IS NOT NULL")
+    return media.favourites(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(False).alias("favourite")), log)
+
+
+@query("SELECT vec_id AS id, vec_id % 20 < 12 AND label % 3 < 2 AS cpu_only FROM embeddings")
+def device_policy(spark, d):
+    family = F.element_at(F.array(F.lit("iPhone"), F.lit("iPad"), F.lit("Watch")), (F.col("label") % 3 + 1).cast("int"))
+    return index(spark, d).select("id", media.cpu_only(F.concat(family, (F.col("id") % 20).cast("string"), F.lit(",1"))).alias("cpu_only"))
+
+
+@query("SELECT event_id AS id, value < 0 OR event_type IN ('error', 'view') AS paused, event_id % 500 < 100 AS rests FROM events WHERE value IS NOT NULL")
+def indexing_throttle(spark, d):
+    heat = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "view", "serious").otherwise("fair")
+    rows = table(spark, d, "events").where("value IS NOT NULL")
+    return rows.select(F.col("event_id").alias("id"), media.paused(F.col("value") < 0, heat).alias("paused"), media.rests(F.col("event_id")).alias("rests"))
+
+
+@query("SELECT user_id, event_type FROM events WHERE value >= 0 GROUP BY 1, 2")
+def stream_first_final(spark, d):
+    """Each request is answered once, however many batches repeat it."""
+    from vecloom.streaming import answers
+
+    scratch = Scratch(spark, "answers")
+    log = table(spark, d, "events").select("user_id", "event_type", "value", "event_id")
+    log.repartitionByRange(3, "event_id").write.parquet(scratch.path("changes"))
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(scratch.path("changes"))
+    first = answers.first_final(source, ["user_id", "event_type"], "value >= 0").select("user_id", "event_type")
+    answers.run(first, scratch.path("out"), scratch.path("offsets")).awaitTermination()
+    return spark.read.schema(first.schema).parquet(scratch.path("out"))
+
+
+@query("SELECT * FROM (VALUES ('never written', false), ('written', true), ('other contract', false), ('emptied', false)) t(state, loaded)")
+def store_load_or_none(spark, d):
+    place = store_folder(spark)
+    s = store.VectorStore(spark, place, "m", "g1", D)
+    out = [("never written", s.load_or_none() is not None)]
+    rows = named(index(spark, d).where("id < 3"))
+    s.commit(upserts=rows)
+    out.append(("written", s.load_or_none() is not None))
+    out.append(("other contract", store.VectorStore(spark, place, "m", "g1", D + 1).load_or_none() is not None))
+    s.commit(deletes=rows.select("id"))
+    out.append(("emptied", s.load_or_none() is not None))
+    return spark.createDataFrame(out, "state string, loaded boolean")

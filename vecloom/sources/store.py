@@ -70,6 +70,14 @@ class VectorStore:
             log = self.spark.createDataFrame([], LOG)
         return store_log.replay(log), m
 
+    def load_or_none(self) -> DataFrame | None:
+        """Live rows, or None if there are none or the store cannot be read."""
+        try:
+            loaded = self.load()
+        except EngineError:
+            return None
+        return None if loaded is None or loaded[0].isEmpty() else loaded[0]
+
     def needs_compaction(self) -> bool:
         m = self.manifest()
         return m is not None and len(m["segments"]) > COMPACT_OVER
