@@ -335,7 +335,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     member = _members(scratch.save(rows, "rows"), threshold, scratch)
     scratch.drop("rows")
     size = member.where("has").groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
-    out = member.join(size, "component", "left")
+    out = member.join(scratch.save(size, "size"), "component", "left")  # a saved side lets Spark split a hot component
     class_id = F.when(F.col("has"), F.col("least")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.when(F.col("has"), F.col("size")).otherwise(F.lit(1)).cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
 
@@ -348,7 +348,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     rows = scratch.save(docs.withColumn(node, F.monotonically_increasing_id()), "rows")
     member = _members(rows.select(F.col(node).alias("node"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), threshold, scratch)
     stays = member.where("has").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node"))["node"].alias("stay"))
-    gone = member.where("has").join(stays, "component").where(F.col("node") != F.col("stay")).select(F.col("node").alias(node))
+    gone = member.where("has").join(scratch.save(stays, "stays"), "component").where(F.col("node") != F.col("stay")).select(F.col("node").alias(node))
     left = rows.join(scratch.save(gone, "gone"), node, "left_anti")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
