@@ -1,9 +1,11 @@
 """Operators that SQL cannot express, against plain versions of their methods."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,6 +84,35 @@ def test_language_against_plain_distances(spark):
             assert (name, score) == ("und", 0.0)
 
 
+def test_learning_holds_little_at_once():
+    """A task that learns counts a large batch in parts: all n-grams of it, in a bounded share of a worker's memory."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(600)) for _ in range(30)]
+    rows = [("de" if k % 3 else "en", texts[k % 30]) for k in range(900)]
+    b = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])
+    got = {"de": Counter(), "en": Counter()}
+    most = 0
+    counted = language_id.count_grams(iter([b]))
+    tracemalloc.start()
+    try:
+        while True:
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            part = next(counted, None)
+            most = max(most, tracemalloc.get_traced_memory()[1] - before)
+            if part is None:
+                break
+            for lang, gram, n in zip(*(c.to_pylist() for c in part.columns)):
+                got[lang][gram] += n
+    finally:
+        tracemalloc.stop()
+    want = {"de": Counter(), "en": Counter()}
+    for k, t in enumerate(texts):
+        want["de" if k % 3 else "en"].update({code(g): 30 * n for g, n in grams(t).items()})
+    assert got == want
+    assert most < 64 << 20, f"{most >> 20} MB"
+
+
 def test_quality_against_plain_votes(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels, sample_per_class=40)
